@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Blanks as the cleaning rules see them (Unicode white space).
 WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # News filler words.
 NEWS_STOP_WORDS = """
@@ -186,14 +187,25 @@ def simple_lemma(tok: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=8)
+def _literals(words: tuple[str, ...], session_key: int) -> list[Column]:
+    """Literal columns, built once per session: hundreds of gateway calls otherwise."""
+    return [F.lit(w) for w in words]
+
+
 def is_content_word(tok: Column, stop_words=None) -> Column:
-    words = list(stop_words or default_stop_words())
+    words = _literals(tuple(stop_words or default_stop_words()), id(SparkContext._jvm))
     return (F.length(tok) > 2) & ~tok.isin(words) & ~F.rlike(tok, F.lit("^[0-9]+$"))
 
 
+def content_lemmas(light: Column, stop_words=None) -> Column:
+    """Lemmas of the content words. Runs under three characters never survive, so they are not cut out."""
+    runs = F.regexp_extract_all(F.lower(light), F.lit("[a-z0-9-]{3,}"), F.lit(0))
+    return F.filter(F.transform(runs, simple_lemma), lambda t: is_content_word(t, stop_words))
+
+
 def heavy_tokens(text, stop_words=None) -> Column:
-    raw = F.split(F.regexp_replace(F.lower(light_clean(text)), "[^a-z0-9-]+", " "), " ")
-    return F.filter(F.transform(raw, simple_lemma), lambda t: is_content_word(t, stop_words))
+    return content_lemmas(light_clean(text), stop_words)
 
 
 def heavy_clean(text, stop_words=None) -> Column:
@@ -203,15 +215,14 @@ def heavy_clean(text, stop_words=None) -> Column:
 
 def raw_text(title, description) -> Column:
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(description, F.lit("")))
-    return F.regexp_replace(joined, f"^{WS}+|{WS}+$", "")
+    return F.btrim(joined, F.lit(BLANKS))
 
 
 def preprocess_articles(articles: DataFrame, stop_words=None) -> DataFrame:
     """Adds ``embedding_text`` and ``tfidf_text``; the markup is stripped once for both."""
     raw = raw_text(F.col("title"), F.col("description"))
     light = articles.withColumn("embedding_text", light_clean(raw))
-    toks = F.split(F.regexp_replace(F.lower("embedding_text"), "[^a-z0-9-]+", " "), " ")
-    kept = F.filter(F.transform(toks, simple_lemma), lambda t: is_content_word(t, stop_words))
+    kept = content_lemmas(F.col("embedding_text"), stop_words)
     return light.withColumn("tfidf_text", F.array_join(kept, " "))
 
 

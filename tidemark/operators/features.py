@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions.text import let
 
 
 def token_list(text) -> Column:
@@ -13,11 +16,13 @@ def token_list(text) -> Column:
 
 def ngram_list(tokens: Column) -> Column:
     """All words and all pairs of neighbouring words."""
-    n = F.size(tokens)
-    # substring of the list without its last / first element; an empty list gives an empty list.
-    left = F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    right = F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    return F.concat(tokens, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    def grams(t: Column) -> Column:
+        pairs = F.greatest(F.size(t) - 1, F.lit(0))
+        left, right = F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs)
+        return F.concat(t, F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(tokens, grams)
 
 
 def tokens(docs: DataFrame, text: str = "tfidf_text", key: str = "article_id") -> DataFrame:
@@ -55,7 +60,18 @@ def tfidf(
     max_features: int = 20000,
     min_df: int = 2,
 ) -> DataFrame:
-    """(key, term, weight): sublinear tf, smooth idf, unit length per document.
+    """(key, term, weight): sublinear tf, smooth idf, unit length per document."""
+    return tfidf_indexed(docs, text, key, max_features, min_df).drop("idx")
+
+
+def tfidf_indexed(
+    docs: DataFrame,
+    text: str = "tfidf_text",
+    key: str = "article_id",
+    max_features: int = 20000,
+    min_df: int = 2,
+) -> DataFrame:
+    """(key, term, idx, weight); ``idx`` numbers the vocabulary in term order from 0.
 
     The vocabulary is at most ``max_features`` rows (20,000 short strings), so it is broadcast and the
     postings, already grouped by document, are not shuffled again for the length.
@@ -63,8 +79,12 @@ def tfidf(
     postings = term_freq(docs, text, key)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     vocab = vocabulary(postings, max_features, effective_min_df(n_docs, min_df))
-    idf = vocab.select("term", (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = vocab.select(
+        "term",
+        (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"),
+        (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"),
+    )
     small = F.broadcast(idf) if max_features <= 200_000 else idf
-    raw = postings.join(small, "term").select(key, "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+    raw = postings.join(small, "term").select(key, "term", "idx", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
     lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(lengths, key).select(key, "term", (F.col("w") / F.col("len")).alias("weight"))
+    return raw.join(lengths, key).select(key, "term", "idx", (F.col("w") / F.col("len")).alias("weight"))

@@ -332,7 +332,7 @@ p2 AS (SELECT page_id, {_light('stripped')} AS light FROM p1)"""
 
 
 def doc_words() -> str:
-    return f"w_v AS (SELECT DISTINCT unnest({_raw_words('text')}) AS word FROM documents)"
+    return f"w_v AS (SELECT * FROM (SELECT DISTINCT unnest({_raw_words('text')}) AS word FROM documents) WHERE word <> '')"
 
 
 def topic_rounded(view: str, more: str = "") -> str:

@@ -15,6 +15,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import topics as tp
 from tidemark.operators import trends as tr
 from tidemark.plans import views as v
+from tidemark.session import spread
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
 from tidemark.sources import store as st
@@ -39,7 +40,7 @@ def day_text(df: DataFrame) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return tx.preprocess_articles(v.articles(spark, d))
+    return tx.preprocess_articles(spread(v.articles(spark, d)))
 
 
 def named(spark: SparkSession, d: str) -> DataFrame:
@@ -196,20 +197,20 @@ def preview_articles(spark, d):
 
 
 def strip_html(spark, d):
-    return v.table(spark, d, "pages").select("page_id", tx.strip_html("html").alias("text"))
+    return spread(v.table(spark, d, "pages")).select("page_id", tx.strip_html("html").alias("text"))
 
 
 def light_clean(spark, d):
-    return v.table(spark, d, "pages").select("page_id", tx.light_clean("html").alias("text"))
+    return spread(v.table(spark, d, "pages")).select("page_id", tx.light_clean("html").alias("text"))
 
 
 def heavy_clean(spark, d):
-    return v.table(spark, d, "pages").select("page_id", tx.heavy_clean("html").alias("text"))
+    return spread(v.table(spark, d, "pages")).select("page_id", tx.heavy_clean("html").alias("text"))
 
 
 def words(spark, d):
     """Distinct lower-case words of all documents."""
-    toks = F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9-]+", " "), " ")
+    toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9-]+"), F.lit(0))
     return v.table(spark, d, "documents").select(F.explode(toks).alias("word")).distinct()
 
 

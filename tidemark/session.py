@@ -52,3 +52,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before CPU-heavy work; a large scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
