@@ -105,6 +105,43 @@ unit_v AS (
   SELECT *, CASE WHEN len > 0 THEN list_transform(embedding, lambda x: x / len) ELSE embedding END AS u
   FROM (SELECT *, sqrt(list_sum(list_transform(embedding, lambda x: x * x))) AS len FROM vec_v))"""
 
+NEAR = VECTORS + """,
+pair_v AS (
+  SELECT a.article_id AS a, b.article_id AS b, a.cluster AS ca, b.cluster AS cb,
+         list_dot_product(a.u, b.u) AS cos, list_distance(a.embedding, b.embedding) AS d,
+         abs(date_diff('day', CAST(a.published AS DATE), CAST(b.published AS DATE))) AS gap
+  FROM unit_v a, unit_v b WHERE a.article_id <> b.article_id),
+sim_v AS (SELECT * FROM pair_v WHERE cos >= 0.35 AND gap <= 3)"""
+
+STORIES = NEAR + """,
+reach(a, b) AS (SELECT a, b FROM sim_v UNION SELECT r.a, s.b FROM reach r JOIN sim_v s ON s.a = r.b),
+comp_v AS (SELECT a AS article_id, min(least(a, b)) AS component FROM reach GROUP BY a),
+size_v AS (SELECT component, count(*) AS size FROM comp_v GROUP BY component),
+story_v AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS story_id FROM size_v),
+told_v AS (
+  SELECT v.article_id, v.source, v.published, 'title ' || CAST(v.article_id AS VARCHAR) AS title, c.component, s.size,
+         CAST(coalesce(s.story_id, -1) AS INTEGER) AS story_id
+  FROM vec_v v LEFT JOIN comp_v c USING (article_id) LEFT JOIN story_v s USING (component))"""
+
+CENTERS = VECTORS + """,
+dim_v AS (SELECT article_id, cluster, unnest(range(1, len(embedding) + 1)) AS i, embedding, u FROM unit_v),
+mean_v AS (SELECT cluster, i, avg(embedding[i]) AS m FROM dim_v WHERE cluster <> -1 GROUP BY ALL)"""
+
+ASSIGNED = CENTERS + """,
+len_v AS (SELECT cluster, sqrt(sum(m * m)) AS len FROM mean_v GROUP BY cluster),
+cos_v AS (
+  SELECT d.article_id, m.cluster, round(sum(d.u[d.i] * m.m) / any_value(l.len), 12) AS cos
+  FROM dim_v d JOIN mean_v m USING (i) JOIN len_v l ON l.cluster = m.cluster GROUP BY d.article_id, m.cluster),
+best_v AS (
+  SELECT article_id, cluster, cos, row_number() OVER (PARTITION BY article_id ORDER BY cos DESC, cluster) AS r FROM cos_v),
+assign_v AS (SELECT article_id, CAST(CASE WHEN cos >= 0.3 THEN cluster ELSE -1 END AS INTEGER) AS cluster FROM best_v WHERE r = 1)"""
+
+KNN = NEAR + """,
+knn_v AS (
+  SELECT a AS src, b AS dst, d, CAST(row_number() OVER (PARTITION BY a ORDER BY round(d * d, 9), b) AS INTEGER) AS rank
+  FROM pair_v),
+core_v AS (SELECT src AS article_id, max(d) AS core FROM knn_v WHERE rank <= 9 GROUP BY src)"""
+
 
 def cleaned() -> str:
     raw = _replace("coalesce(title, '') || '. ' || coalesce(description, '')", f"^{tx.WS}+|{tx.WS}+$", "''")
@@ -569,4 +606,73 @@ i_v AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY topic_id) AS i
     "map_labels": lambda: sel(
         PLACED, "SELECT topic_name, median(x) AS x, median(y) AS y FROM placed_v WHERE cluster <> -1 GROUP BY topic_name"
     ),
+    "similar_pairs": lambda: sel(
+        NEAR, "SELECT a AS left_id, b AS right_id, round(cos, 6) AS cosine FROM sim_v WHERE a < b"
+    ),
+    "story_components": lambda: sel(
+        STORIES, "SELECT article_id, component, size FROM told_v WHERE component IS NOT NULL", True
+    ),
+    "story_groups": lambda: sel(STORIES, "SELECT article_id, story_id FROM told_v", True),
+    "story_summary": lambda: sel(
+        STORIES,
+        "SELECT story_id, count(*) AS n, count(DISTINCT source) AS outlets, left(arg_min(title, article_id), 90) AS label "
+        "FROM told_v WHERE story_id <> -1 GROUP BY story_id ORDER BY n DESC, story_id LIMIT 15",
+        True,
+    ),
+    "story_count": lambda: sel(
+        STORIES, "SELECT count(DISTINCT story_id) AS stories FROM told_v WHERE story_id <> -1", True
+    ),
+    "story_members": lambda: sel(
+        STORIES, f"SELECT source, {_stamp('published')} AS published, title FROM told_v WHERE story_id = 1", True
+    ),
+    "cluster_centroids": lambda: sel(CENTERS, "SELECT cluster, i - 1 AS pos, round(m, 6) AS value FROM mean_v"),
+    "assign_new": lambda: sel(ASSIGNED, "SELECT * FROM assign_v"),
+    "cluster_counts": lambda: sel(
+        ARTICLES,
+        "SELECT count(*) AS n_articles, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters, "
+        "count(*) FILTER (cluster = -1) AS n_noise, round(100 * count(*) FILTER (cluster = -1) / count(*), 6) AS noise_pct "
+        "FROM articles_v",
+    ),
+    "silhouette": lambda: sel(
+        NEAR
+        + """,
+per_v AS (SELECT a, ca, cb, avg(d) AS m FROM pair_v WHERE ca <> -1 AND cb <> -1 GROUP BY ALL),
+ab_v AS (SELECT a, max(CASE WHEN ca = cb THEN m END) AS x, min(CASE WHEN ca <> cb THEN m END) AS y FROM per_v GROUP BY a)""",
+        "SELECT round(avg(CASE WHEN x IS NULL THEN 0 ELSE (y - x) / greatest(x, y) END), 6) AS silhouette FROM ab_v",
+    ),
+    "davies_bouldin": lambda: sel(
+        CENTERS
+        + """,
+gap_v AS (
+  SELECT d.article_id, d.cluster, sqrt(sum((d.embedding[d.i] - m.m) ** 2)) AS gap
+  FROM dim_v d JOIN mean_v m ON m.cluster = d.cluster AND m.i = d.i GROUP BY ALL),
+s_v AS (SELECT cluster, avg(gap) AS s FROM gap_v GROUP BY cluster),
+far_v AS (
+  SELECT a.cluster AS x, b.cluster AS y, sqrt(sum((a.m - b.m) ** 2)) AS far
+  FROM mean_v a JOIN mean_v b ON a.i = b.i AND a.cluster <> b.cluster GROUP BY ALL)""",
+        "SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT x, max((a.s + b.s) / far) AS r FROM far_v "
+        "JOIN s_v a ON a.cluster = x JOIN s_v b ON b.cluster = y GROUP BY x)",
+    ),
+    "knn_graph": lambda: sel(KNN, "SELECT src, dst, rank, round(d * d / 2, 6) AS dist FROM knn_v WHERE rank <= 15"),
+    "core_distance": lambda: sel(KNN, "SELECT article_id, round(core, 6) AS core FROM core_v"),
+    "mutual_reachability": lambda: sel(
+        KNN,
+        "SELECT src, dst, round(greatest(d, a.core, b.core), 6) AS weight FROM knn_v JOIN core_v a ON a.article_id = src "
+        "JOIN core_v b ON b.article_id = dst WHERE rank <= 9",
+    ),
+    "stream_ingest": lambda: sel(
+        ARTICLES,
+        f"SELECT article_id, title, description, source, url, {_stamp('published')} AS published, author, category FROM articles_v",
+    ),
+    "stream_dedup": lambda: sel(
+        ARTICLES,
+        "SELECT title, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY article_id) AS r FROM articles_v) WHERE r = 1",
+    ),
+    "stream_daily_counts": lambda: sel(
+        EVENT_ARTICLES + COUNTS,
+        "SELECT strftime(day, '%Y-%m-%d') AS day, topic_id, n FROM cnt_v "
+        "WHERE day + INTERVAL 1 DAY <= (SELECT max(published) FROM articles_v WHERE cluster <> -1) - INTERVAL 3 DAY",
+    ),
+    "stream_assign": lambda: sel(ASSIGNED, "SELECT * FROM assign_v"),
+    "stream_trends": lambda: sel(EVENT_ARTICLES + TREND, f"SELECT {TREND_COLS} FROM trend_v"),
 }

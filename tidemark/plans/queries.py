@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.ordering import dense_index
 from tidemark.functions.vectors import normalized
+from tidemark.operators import clusters as cl
+from tidemark.operators import density as de
+from tidemark.operators import embeddings as em
 from tidemark.operators import explore as ex
 from tidemark.operators import features as ft
+from tidemark.operators import neighbors as nb
+from tidemark.operators import reduce as rd
+from tidemark.operators import stories as so
 from tidemark.operators import topics as tp
 from tidemark.operators import trends as tr
 from tidemark.plans import views as v
-from tidemark.session import spread
+from tidemark.plans.analysis import Config, run_analysis
+from tidemark.session import checkpointed, fresh_path, spread
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
 from tidemark.sources import store as st
+from tidemark.streaming import news as sn
 
 DAYS = (dt.date(2024, 1, 4), dt.date(2024, 1, 9))
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -449,6 +457,188 @@ def map_labels(spark, d):
     return ex.map_labels(placed(spark, d))
 
 
+# --- vectors, clusters, stories ------------------------------------------------------------------
+
+STORY_COSINE = 0.35  # the given vectors have no pair at the default of 0.80
+
+
+def hash_model():
+    """Deterministic stand-in for a sentence model: hashed word counts in 32 dimensions."""
+    import zlib
+
+    import numpy as np
+
+    def embed(texts):
+        out = np.zeros((len(texts), 32), dtype="float32")
+        for i, t in enumerate(texts):
+            for w in str(t).split():
+                out[i, zlib.crc32(w.encode()) % 32] += 1
+        return out
+
+    return embed
+
+
+def flat(df: DataFrame, key: str = "article_id", digits: int = 6) -> DataFrame:
+    return df.select(key, F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", digits))
+
+
+def lsa_embed(spark, d):
+    return flat(em.lsa_embed(cleaned(spark, d), 20))
+
+
+def batch_embed(spark, d):
+    return flat(em.batch_embed(cleaned(spark, d), hash_model))
+
+
+def semantic_keywords(spark, d):
+    return em.semantic_keywords(cleaned(spark, d), hash_model)
+
+
+def pca_reduce(spark, d):
+    return flat(rd.pca_reduce(v.vectors(spark, d), 5))
+
+
+def spectral_layout(spark, d):
+    return flat(rd.spectral_layout(v.vectors(spark, d), 2, rounds=20))
+
+
+def knn_graph(spark, d):
+    return nb.knn_graph(v.vectors(spark, d), 15).withColumns(r6("dist"))
+
+
+def core_distance(spark, d):
+    near = nb.knn_graph(v.vectors(spark, d), 9, "euclidean")
+    return de.core_distance(near, 10).withColumns(r6("core"))
+
+
+def mutual_reachability(spark, d):
+    near = checkpointed(nb.knn_graph(v.vectors(spark, d), 9, "euclidean"))
+    return de.mutual_reachability(near, de.core_distance(near, 10)).withColumns(r6("weight"))
+
+
+def mst_edges(spark, d):
+    tree = de.mst_edges(v.vectors(spark, d), 10)
+    return tree.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def density_cluster(spark, d):
+    small = rd.pca_reduce(v.vectors(spark, d), 5)
+    return de.density_cluster(checkpointed(small), 10, 5)
+
+
+def kmeans_cluster(spark, d):
+    return cl.kmeans_cluster(v.vectors(spark, d), 8)
+
+
+def cluster_centroids(spark, d):
+    return flat(cl.cluster_centroids(v.vectors(spark, d)), "cluster")
+
+
+def assign_new(spark, d):
+    """All vectors against the centroids of the given labels."""
+    vec = v.vectors(spark, d)
+    return cl.assign_new_articles(vec, cl.cluster_centroids(vec), 0.3).select("article_id", "cluster")
+
+
+def cluster_counts(spark, d):
+    return cl.cluster_counts(v.articles(spark, d)).withColumns(r6("noise_pct"))
+
+
+def silhouette(spark, d):
+    return cl.silhouette(v.vectors(spark, d)).withColumns(r6("silhouette"))
+
+
+def davies_bouldin(spark, d):
+    return cl.davies_bouldin(v.vectors(spark, d)).withColumns(r6("davies_bouldin"))
+
+
+def similar_pairs(spark, d):
+    return nb.similar_pairs(v.vectors(spark, d), STORY_COSINE).withColumns(r6("cosine"))
+
+
+def told_stories(spark, d):
+    arts = v.vectors(spark, d).drop("embedding").withColumn("title", F.concat(F.lit("title "), F.col("article_id").cast("string")))
+    return so.find_story_groups(arts, v.vectors(spark, d), STORY_COSINE)
+
+
+def story_components(spark, d):
+    return so.story_table(v.vectors(spark, d), STORY_COSINE).select("article_id", "component", "size")
+
+
+def story_groups(spark, d):
+    return told_stories(spark, d).select("article_id", "story_id")
+
+
+def story_summary(spark, d):
+    return so.top_stories(so.story_summary(told_stories(spark, d))).select("story_id", "n", "outlets", "label")
+
+
+def story_count(spark, d):
+    return so.story_count(told_stories(spark, d))
+
+
+def story_members(spark, d):
+    return so.story_members(told_stories(spark, d), 1).withColumns(stamp("published"))
+
+
+# --- streaming -----------------------------------------------------------------------------------
+
+
+def _stream(spark, d, name):
+    """A given table as a stream of its landed files."""
+    return sn.landed(spark, d, v.table(spark, d, name).schema, f"{name}.parquet")
+
+
+def _paths(spark, *names):
+    base = fresh_path(spark, "stream")
+    return [f"{base}/{n}" for n in names]
+
+
+def _event_stream(spark, d):
+    return v.shape_events(_stream(spark, d, "events"))
+
+
+def stream_ingest(spark, d):
+    out, state = _paths(spark, "out", "state")
+    sn.ingest(v.shape_articles(_stream(spark, d, "documents")), out, state)
+    return spark.read.parquet(out).drop("batch", "cluster").withColumns(stamp("published"))
+
+
+def stream_dedup(spark, d):
+    store, state = _paths(spark, "store", "state")
+    sn.store_new(v.shape_articles(_stream(spark, d, "documents")), store, state, "article_id")
+    return st.load_store(spark, store).select("title", "url")
+
+
+def stream_daily_counts(spark, d):
+    """Days that the watermark has passed; the last days of the stream stay open."""
+    out, state = _paths(spark, "out", "state")
+    sn.run_once(sn.daily_topic_counts(_event_stream(spark, d)), sn.append_to(out), state)
+    return day_text(spark.read.parquet(out).drop("batch"))
+
+
+def stream_assign(spark, d):
+    out, state = _paths(spark, "out", "state")
+    centroids = cl.cluster_centroids(v.vectors(spark, d))
+    new = v.shape_vectors(_stream(spark, d, "embeddings"))
+    sn.run_once(sn.assign_stream(new, centroids, 0.3).select("article_id", "cluster"), sn.append_to(out), state)
+    return spark.read.parquet(out).drop("batch")
+
+
+def stream_trends(spark, d):
+    arts, trend, state = _paths(spark, "articles", "trends", "state")
+    sn.refresh_trends(_event_stream(spark, d), arts, trend, state)
+    newest = spark.read.parquet(trend)
+    last = newest.agg(F.max("batch").alias("b")).scalar()
+    return newest.filter(F.col("batch") == last).drop("batch").withColumns(r6(*TREND_ROUND))
+
+
+def full_analysis(spark, d):
+    """The end-to-end run with k-means over LSA vectors: its topic table."""
+    cfg = Config(embedding_backend="tfidf", algorithm="kmeans", embedding_dims=20, silhouette="squared")
+    return rounded_topics(run_analysis(v.articles(spark, d).drop("cluster"), cfg).topics)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -461,6 +651,10 @@ QUERIES = {
         daily_counts, daily_counts_wide, window_compare, source_diversity, velocity, emerging_score, trend_label,
         topic_summary, topic_with_trend, topic_table, coherence_table, topic_distribution, overview, top_emerging,
         trend_lines, trend_table, topic_latest, source_mix, article_filter, article_list, filter_options,
-        article_detail, map_points, map_labels,
+        article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
+        story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
+        knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
+        stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
+        full_analysis, spectral_layout, mst_edges, density_cluster,
     )
 }

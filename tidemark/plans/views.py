@@ -19,6 +19,18 @@ def _after_epoch(days: Column, seconds: Column | None = None) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_articles(table(spark, sf_dir, "documents"))
+
+
+def event_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def shape_articles(documents: DataFrame) -> DataFrame:
     """``documents`` as articles: first line is the title, the rest the description; 8 topics and noise."""
     i = F.col("doc_id")
     g = F.floor(i / 3).cast("int")
@@ -26,7 +38,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(g % 4 == 0, F.greatest(wave, other)).when(g % 4 == 1, F.least(wave, other)).otherwise(wave)
     title = F.substring_index("text", "\n", 1)
     rest = F.when(F.contains("text", F.lit("\n")), F.substr("text", F.length(title) + 2)).otherwise("")
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         i.alias("article_id"),
         title.alias("title"),
         rest.alias("description"),
@@ -43,10 +55,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_TOPICS = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
 
-def event_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape_events(events: DataFrame) -> DataFrame:
     """``events`` as dated topic mentions: the type is the topic, the user the source."""
     topic = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_TOPICS.items()], F.lit(-1))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("article_id"),
         F.col("ts").cast("timestamp_ntz").alias("published"),
         F.col("user_id").cast("string").alias("source"),
@@ -54,10 +66,10 @@ def event_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shape_vectors(embeddings: DataFrame) -> DataFrame:
     """``embeddings`` as article vectors with cluster, source and date."""
     i = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return embeddings.select(
         i.alias("article_id"),
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.col("label").alias("cluster"),

@@ -38,20 +38,26 @@ def work_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """New unused path below the shared folder."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """New unused path below the shared folder; one folder per application, free to delete after it ends."""
+    app = spark.sparkContext.applicationId
+    return f"{work_dir(spark).rstrip('/')}/tidemark-{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and, unlike an RDD checkpoint, gives the next plan the real
+    size of the data (so small sides are broadcast by the optimizer) and no inherited constraints, which
+    grow exponentially in iterative joins.
+    """
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
