@@ -653,7 +653,11 @@ far_v AS (
         "SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT x, max((a.s + b.s) / far) AS r FROM far_v "
         "JOIN s_v a ON a.cluster = x JOIN s_v b ON b.cluster = y GROUP BY x)",
     ),
-    "knn_graph": lambda: sel(KNN, "SELECT src, dst, rank, round(d * d / 2, 6) AS dist FROM knn_v WHERE rank <= 15"),
+    "knn_graph": lambda: sel(
+        NEAR,
+        "SELECT src, dst, rank, round(1 - cos, 6) AS dist FROM (SELECT a AS src, b AS dst, cos, CAST(row_number() OVER "
+        "(PARTITION BY a ORDER BY round(2 - 2 * cos, 9), b) AS INTEGER) AS rank FROM pair_v) WHERE rank <= 15",
+    ),
     "core_distance": lambda: sel(KNN, "SELECT article_id, round(core, 6) AS core FROM core_v"),
     "mutual_reachability": lambda: sel(
         KNN,
