@@ -14,6 +14,10 @@ def token_list(text) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
+def has_token(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[\p{L}\p{N}_]{2}"))
+
+
 def ngram_list(tokens: Column) -> Column:
     """All words and all pairs of neighbouring words."""
 
@@ -34,8 +38,13 @@ def ngrams(docs: DataFrame, text: str = "tfidf_text", key: str = "article_id") -
 
 
 def term_freq(docs: DataFrame, text: str = "tfidf_text", key: str = "article_id") -> DataFrame:
-    """(key, term, tf). A document sits in one partition, so the partial count does all the work."""
-    return ngrams(docs, text, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf).
+
+    The texts are partitioned by document before they are cut into terms: counting per document then
+    needs no shuffle of its own, and a text is several times smaller than its postings.
+    """
+    by_doc = docs.select(key, text).repartition(key)
+    return ngrams(by_doc, text, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def doc_freq(postings: DataFrame, min_df: int | Column = 1) -> DataFrame:
@@ -73,8 +82,8 @@ def tfidf_indexed(
 ) -> DataFrame:
     """(key, term, idx, weight); ``idx`` numbers the vocabulary in term order from 0.
 
-    The vocabulary is at most ``max_features`` rows (20,000 short strings), so it is broadcast and the
-    postings, already grouped by document, are not shuffled again for the length.
+    The vocabulary is at most ``max_features`` rows (20,000 short strings), so it is broadcast; the
+    postings stay on their partitioning by document to the end.
     """
     postings = term_freq(docs, text, key)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -86,5 +95,6 @@ def tfidf_indexed(
     )
     small = F.broadcast(idf) if max_features <= 200_000 else idf
     raw = postings.join(small, "term").select(key, "term", "idx", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(lengths, key).select(key, "term", "idx", (F.col("w") / F.col("len")).alias("weight"))
+    # One document per window, on the partitioning that the postings already have.
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", "idx", (F.col("w") / length).alias("weight"))

@@ -51,6 +51,11 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return tx.preprocess_articles(spread(v.articles(spark, d)))
 
 
+def cleaned_table(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned texts written out once, for queries that read them several times."""
+    return checkpointed(cleaned(spark, d))
+
+
 def named(spark: SparkSession, d: str) -> DataFrame:
     """Articles with a plain topic name, for the queries that only need some name."""
     name = F.when(F.col("cluster") != -1, F.concat(F.lit("Topic "), F.col("cluster").cast("string")))
@@ -68,7 +73,7 @@ def trends(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_scores(spark: SparkSession, d: str) -> DataFrame:
-    return tp.class_tfidf(cleaned(spark, d))
+    return tp.class_tfidf(cleaned_table(spark, d))
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +81,7 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    docs = cleaned(spark, d)
+    docs = cleaned_table(spark, d)
     kw = tp.cluster_keywords(tp.class_tfidf(docs))
     names = tp.unique_topic_names(tp.name_topics(kw))
     return ex.topic_summary(docs, names, kw, tp.npmi_coherence(kw, docs))
@@ -264,7 +269,7 @@ def vocab_topk(spark, d):
 
 
 def tfidf(spark, d):
-    return ft.tfidf(cleaned(spark, d)).withColumns(r6("weight"))
+    return ft.tfidf(cleaned_table(spark, d)).withColumns(r6("weight"))
 
 
 def normalize_vectors(spark, d):
@@ -293,13 +298,13 @@ def cluster_keywords(spark, d):
 
 
 def npmi_coherence(spark, d):
-    docs = cleaned(spark, d)
+    docs = cleaned_table(spark, d)
     kw = tp.cluster_keywords(tp.class_tfidf(docs))
     return tp.npmi_coherence(kw, docs).withColumns(r6("coherence"))
 
 
 def average_coherence(spark, d):
-    docs = cleaned(spark, d)
+    docs = cleaned_table(spark, d)
     kw = tp.cluster_keywords(tp.class_tfidf(docs))
     return tp.average_coherence(tp.npmi_coherence(kw, docs)).withColumns(r6("avg_coherence"))
 
@@ -483,7 +488,7 @@ def flat(df: DataFrame, key: str = "article_id", digits: int = 6) -> DataFrame:
 
 
 def lsa_embed(spark, d):
-    return flat(em.lsa_embed(cleaned(spark, d), 20))
+    return flat(em.lsa_embed(cleaned_table(spark, d), 20))
 
 
 def batch_embed(spark, d):

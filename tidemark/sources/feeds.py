@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import checkpointed
 from tidemark.sources.articles import parse_published
 
 # The default feeds.
@@ -65,7 +66,10 @@ def limit_per_feed(rows: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, name: str, path: str, row_tag: str = "item") -> DataFrame:
-    """One landed feed file (``row_tag`` is ``item`` for RSS, ``entry`` for Atom)."""
+    """One landed feed file (``row_tag`` is ``item`` for RSS, ``entry`` for Atom).
+
+    The parsed items are written out once: the articles and the status both read them.
+    """
     raw = (
         spark.read.format("xml")
         .option("rowTag", row_tag)
@@ -75,7 +79,7 @@ def read_feed(spark: SparkSession, name: str, path: str, row_tag: str = "item")
         .withColumn("feed", F.lit(name))
         .withColumn("pos", F.monotonically_increasing_id())
     )
-    return raw
+    return checkpointed(raw)
 
 
 def parse_items(df: DataFrame, xml_col: str) -> DataFrame:
