@@ -15,7 +15,7 @@ from tidemark.operators.explore import by_size, topic_summary, topic_with_trend
 from tidemark.operators.reduce import reduce_dims
 from tidemark.operators.stories import find_story_groups
 from tidemark.operators.trends import daily_counts, emerging_topics, ranked
-from tidemark.session import checkpointed, spread
+from tidemark.session import checkpointed
 
 
 @dataclass
@@ -57,7 +57,7 @@ def run_analysis(articles: DataFrame, cfg: Config | None = None, name_overrides:
     cfg = cfg or Config()
     cl.require_articles(articles)
     notes: list[str] = []
-    docs = checkpointed(preprocess_articles(spread(articles)))
+    docs = checkpointed(preprocess_articles(articles))
 
     if cfg.embedding_backend == "tfidf":
         raw, used, note = lsa_embed(docs, cfg.embedding_dims, cfg.seed), "tfidf-svd", ""

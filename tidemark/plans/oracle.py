@@ -138,7 +138,7 @@ assign_v AS (SELECT article_id, CAST(CASE WHEN cos >= 0.3 THEN cluster ELSE -1 E
 
 KNN = NEAR + """,
 knn_v AS (
-  SELECT a AS src, b AS dst, d, CAST(row_number() OVER (PARTITION BY a ORDER BY round(d * d, 9), b) AS INTEGER) AS rank
+  SELECT a AS src, b AS dst, d, CAST(row_number() OVER (PARTITION BY a ORDER BY round(d * d, 12), b) AS INTEGER) AS rank
   FROM pair_v),
 core_v AS (SELECT src AS article_id, max(d) AS core FROM knn_v WHERE rank <= 9 GROUP BY src)"""
 
@@ -656,7 +656,7 @@ far_v AS (
     "knn_graph": lambda: sel(
         NEAR,
         "SELECT src, dst, rank, round(1 - cos, 6) AS dist FROM (SELECT a AS src, b AS dst, cos, CAST(row_number() OVER "
-        "(PARTITION BY a ORDER BY round(2 - 2 * cos, 9), b) AS INTEGER) AS rank FROM pair_v) WHERE rank <= 15",
+        "(PARTITION BY a ORDER BY round(2 - 2 * cos, 12), b) AS INTEGER) AS rank FROM pair_v) WHERE rank <= 15",
     ),
     "core_distance": lambda: sel(KNN, "SELECT article_id, round(core, 6) AS core FROM core_v"),
     "mutual_reachability": lambda: sel(

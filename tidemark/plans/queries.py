@@ -641,7 +641,7 @@ def stream_trends(spark, d):
 def full_analysis(spark, d):
     """The end-to-end run with k-means over LSA vectors: its topic table."""
     cfg = Config(embedding_backend="tfidf", algorithm="kmeans", embedding_dims=20, silhouette="squared")
-    return rounded_topics(run_analysis(v.articles(spark, d).drop("cluster"), cfg).topics)
+    return rounded_topics(run_analysis(spread(v.articles(spark, d)).drop("cluster"), cfg).topics)
 
 
 QUERIES = {

@@ -61,6 +61,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before CPU-heavy work; a large scan is left alone."""
+    """Spread a scan with fewer splits than cores before CPU-heavy work; a large scan is left alone.
+
+    For plain scans only: counting the partitions of a plan with a shuffle would run that shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
