@@ -1,8 +1,7 @@
-"""Content-defined anchors of a byte array, in numpy: every window of 50 bytes holds at least one.
+"""Content-defined regions of a byte array, in numpy: every window of 50 bytes belongs to exactly one.
 
-An anchor is a string of ``K`` bytes whose hash is least among all such strings of some window. Which
-anchors a window holds depends on the window alone, so two documents that share a window share an
-anchor at the same place in it.
+A window's anchor is the least hash among its strings of ``K`` bytes; it depends on the window alone. A region
+is a run of neighbouring windows with the same anchor, of at most ``RUN``. Equal windows have equal anchors.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ import numpy as np
 WINDOW = 50
 K = 20
 _PER = WINDOW - K + 1  # strings of K bytes in a window
-_STEP = 1 << 21
+RUN = 31  # windows in a region at most: one bit each in a mask
+_STEP = 1 << 16
 
 _M = np.uint64(0xD6E8FEB86659FD95)
 _MINV = np.uint64(pow(0xD6E8FEB86659FD95, -1, 1 << 64))
@@ -25,7 +25,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_N = _STEP + 4 * WINDOW
+_N = _STEP + WINDOW
 _POW, _INV = _powers(_M, _N + 1), _powers(_MINV, _N + 1)
 
 
@@ -46,40 +46,42 @@ def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
 
 
 def find(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Anchors of the documents ``data[start:end]`` (in order, side by side).
+    """Regions of the documents ``data[start:end]`` (in order, side by side).
 
-    Returns, per anchor: first byte of its region, number of windows in the region (those whose least hash
-    is the anchor's; the region is their union), hash of the anchor, hash of the region, document index.
+    Returns, per region: first byte, number of windows, anchor, hash of the bytes, document index.
     """
     parts = []
-    n = len(data)
-    for at in range(0, max(n - K + 1, 0), _STEP):
-        lo, hi = max(at - 2 * WINDOW, 0), min(n, at + _STEP + 2 * WINDOW)
-        seg = data[lo:hi]
+    for at in range(0, max(len(data) - WINDOW + 1, 0), _STEP):
+        seg = data[at : at + _STEP + WINDOW - 1]
         m = len(seg)
-        if m < WINDOW:
-            continue
         total = np.zeros(m + 1, np.uint64)
         np.cumsum(_BYTES[seg] * _POW[:m], out=total[1:])
         h = mix((total[K:] - total[:-K]) * _INV[: m - K + 1]) | np.uint64(1)
         least = _slide(h, _PER, np.minimum)  # by the window's first byte
-        first, last = np.searchsorted(end, lo, "right"), np.searchsorted(start, hi, "left")
+        first, last = np.searchsorted(end, at, "right"), np.searchsorted(start, at + m, "left")
         for e in end[first:last]:  # windows that leave their document do not count
-            least[max(e - lo - WINDOW + 1, 0) : max(e - lo, 0)] = 0
-        pad = np.zeros(_PER - 1, np.uint64)
-        least = np.concatenate([pad, least, pad])
-        p = np.flatnonzero(_slide(least, _PER, np.maximum) == h)
-        p = p[(p + lo >= at) & (p + lo < at + _STEP)]
-        own, far, count = h[p], np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-        for back in range(_PER):
-            holds = least[p + (_PER - 1 - back)] == own
-            count += holds
-            far[holds] = back
-        left = p - far
-        right = left + count + WINDOW - 1
-        region = (total[right] - total[left]) * _INV[left]
-        shape = (far * 4096 + count).astype(np.uint64)
-        parts.append((left + lo, count, own, mix(region ^ mix(shape)), np.searchsorted(end, p + lo, "right")))
+            least[max(e - at - WINDOW + 1, 0) : max(e - at, 0)] = 0
+        cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
+        left, count = cut[:-1], np.diff(cut)
+        left, count = left[least[left] > 0], count[least[left] > 0]
+        if len(count) and count.max() > RUN:
+            pieces = -(-count // RUN)
+            number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            left, count = np.repeat(left, pieces) + number * RUN, np.minimum(np.repeat(count, pieces) - number * RUN, RUN)
+        region = (total[left + count + WINDOW - 1] - total[left]) * _INV[left]
+        doc = np.searchsorted(end, left + at, "right")
+        parts.append((left + at, count, mix(least[left]), mix(region ^ mix(count.astype(np.uint64))), doc))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def order_by(anchor: np.ndarray, region: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by anchor, region and document; only ties of the anchor take the slower sort."""
+    order = np.argsort(anchor)
+    ordered = anchor[order]
+    same = ordered[1:] == ordered[:-1]
+    tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(order) else order
+    own = order[tied]
+    order[tied] = own[np.lexsort((doc[own], region[own], anchor[own]))]
+    return order

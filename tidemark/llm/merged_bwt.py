@@ -48,8 +48,10 @@ def _dense(key: np.ndarray) -> np.ndarray:
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge shard BWTs up to ``depth`` (even) symbols.
 
-    Returns, by row of the shards side by side: number of the interval of rows that share ``depth`` symbols
-    (in the merged order), row of the suffix without its first symbol, and the rows of whole strings.
+    A row alone in its interval stays alone, and so do the rows of all longer suffixes that end with its suffix;
+    such rows leave the refinement. Returns, by row of the shards side by side: number of the repeated interval
+    (rows that share ``depth`` symbols; in the merged order, -1 for a row alone), row of the suffix without its
+    first symbol, and the rows of whole strings.
     """
     bwt = np.concatenate(shards)
     last_to_first, base = np.empty(len(bwt), np.int32), 0
@@ -62,14 +64,14 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
     pair = (bwt[last_to_first].astype(np.uint16) << np.uint16(8)) | bwt
     twice = last_to_first[last_to_first]
     row, interval = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    by_row = np.full(len(bwt), -1, np.int32)
     for _ in range(depth // 2):
         symbol = pair[row]
         order = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[order], interval[order]
         # a common prefix ends here where the symbols or the former intervals of neighbours differ
-        cut = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.concatenate([[0], np.cumsum(cut, dtype=np.int32)]).astype(np.int32)
-        row = twice[row[order]]
-    by_row = np.empty_like(interval)
+        cut = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]), [True]])
+        row, cut, shared = twice[row[order]], cut[:-1], ~(cut[:-1] & cut[1:])
+        row, interval = row[shared], np.cumsum(cut[shared], dtype=np.int32) - np.int32(1)
     by_row[row] = interval
     return by_row, onward, np.flatnonzero(bwt == 0)

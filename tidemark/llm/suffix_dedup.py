@@ -17,7 +17,6 @@ from tidemark.llm.merged_bwt import merge, transform
 from tidemark.session import checkpointed
 
 _BLOCK = 4 << 20
-_LOW = np.uint64((1 << 40) - 1)
 _MESSAGE = "block long, kind int, bucket int, body binary"
 
 
@@ -33,12 +32,12 @@ class _Block:
         first, count, anchor, region, doc = anchors.find(self.data, self.start, self.end)
         keep = known[doc]
         first, count, anchor, region, doc = (x[keep] for x in (first, count, anchor, region, doc))
-        bucket = ((anchor >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((ids[doc], region, anchor & _LOW, bucket))
+        order = anchors.order_by(anchor, region, ids[doc])
+        bucket = ((anchor >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)  # in the order of anchors
         self.first, self.count, self.anchor, self.region, self.bucket = (x[order] for x in (first, count, anchor, region, bucket))
         self.doc_id = ids[doc[order]]
         new = np.ones(len(order), bool)
-        new[1:] = (self.region[1:] != self.region[:-1]) | (self.anchor[1:] != self.anchor[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        new[1:] = (self.region[1:] != self.region[:-1]) | (self.anchor[1:] != self.anchor[:-1])
         self.head = np.flatnonzero(new)  # one per pair: its occurrence in the least document
         self.pair = np.cumsum(new) - 1
         buckets = self.bucket[self.head]
@@ -117,7 +116,7 @@ def _answer(sent: pa.Table, hot: int) -> pa.Table:
     anchor = anchor.view(np.uint64).ravel()
     region = np.concatenate([b[1] for b in bodies])
     doc = np.concatenate([b[2] + b[3].astype(np.int64) for b in bodies])
-    order = np.lexsort((doc, region, anchor))
+    order = anchors.order_by(anchor, region, doc)
     a, r, d = anchor[order], region[order], doc[order]
     new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
     new_region = new_anchor | np.concatenate([[True], r[1:] != r[:-1]])
@@ -154,7 +153,7 @@ def _merged(sent: pa.Table) -> pa.Table:
             has = count > offset
             seen[has, offset] = interval[row[has]]
             row = onward[row]
-        least = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
+        least = np.full(max(int(interval.max()), 0) + 1, np.iinfo(np.int64).max)
         valid = seen >= 0
         np.minimum.at(least, seen[valid], np.broadcast_to(doc[:, None], seen.shape)[valid])
         hit = valid & (least[np.maximum(seen, 0)] < doc[:, None])
@@ -189,8 +188,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     documents; a null text is empty; texts under 50 bytes stay whole. A row without id stays whole and removes
     nothing; rows that repeat an id do not remove each other's text. Other columns are ignored.
 
-    1. Blocks of documents find their anchors (``anchors``): every window of 50 bytes has one, so windows can only
-       be equal under the same anchor. Each block sends its distinct (anchor, region) pairs to buckets by anchor;
+    1. Blocks of documents find their regions (``anchors``): every window of 50 bytes is in one, and windows can only
+       be equal if their regions have the same anchor. Each block sends its distinct (anchor, region) pairs to buckets by anchor;
        the answer names the least document of each region. A later document's equal region is removed at once.
     2. Distinct regions under one anchor, one copy of each, go to merge buckets as shard BWTs, one shard per block;
        the merge yields the intervals of suffixes with 50 bytes in common, and the least document of each.
@@ -257,7 +256,7 @@ def _cut(block: _Block, replies: pa.Table, n_merges: int) -> pa.Table:
         hit |= doc > doc[new][np.cumsum(new) - 1]
         np.bitwise_or.at(bits, pair[hit], np.uint32(1) << offset[hit].astype(np.uint32))
     own = np.flatnonzero((bits[block.pair] > 0) & ~later)
-    for offset in range(anchors.WINDOW - anchors.K + 1):
+    for offset in range(anchors.RUN):
         at = block.first[own[(bits[block.pair[own]] >> np.uint32(offset)) & np.uint32(1) > 0]] + offset
         np.add.at(depth, at, 1)
         np.add.at(depth, at + WINDOW, -1)
