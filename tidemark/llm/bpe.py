@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,6 @@ class Words:
             raise ValueError("added tokens that change their surroundings are not supported")
         self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(_SPLIT).findall
-        self.known: dict[str, np.ndarray] = {}
 
     def split(self, text: str) -> list[str]:
         if self.cut is None or not any(a in text for a in self.added):
@@ -72,6 +73,12 @@ class Words:
         return out
 
 
+@lru_cache(1)
+def words_of(spec: str) -> Words:
+    """One per Python worker."""
+    return Words(spec)
+
+
 def byte_symbols() -> dict[str, int]:
     """The printable symbol of each byte in byte-level vocabularies: itself, or the next free from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -100,8 +107,6 @@ def _distinct(texts, words: Words) -> dict[str, int]:
 
 def _dealt(seen: dict[str, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words in sorted order with the bucket of each and its number in the block."""
-    from zlib import crc32
-
     ordered = sorted(seen)
     bucket = np.fromiter((crc32(w.encode()) % n_buckets for w in ordered), np.int64, len(ordered))
     return bucket, np.fromiter((seen[w] for w in ordered), np.int64, len(ordered)), ordered
@@ -123,18 +128,18 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     n_buckets = max(blocks.count(), 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(spec)
+        words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 bucket, _, ordered = _dealt(_distinct(_texts(unpacked(body)), words), n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cuts) if len(order) else ():
-                    yield from _sent([(int(bucket[part[0]]), number, dump("\0".join(ordered[i].replace("\0", "\0\1") for i in part)))]).to_batches()
+                    yield from _sent([(int(bucket[part[0]]), number, _message([ordered[i] for i in part]))]).to_batches()
 
     def answer(sent: pa.Table) -> pa.Table:
-        words = Words(spec)
-        asked = [[w.replace("\1", "\0") if "\1" in w else w for w in _unjoined(load(b)[0])] for b in sent.column("body").to_pylist()]
+        words = words_of(spec)
+        asked = [_asked(b) for b in sent.column("body").to_pylist()]
         distinct = sorted(set().union(*asked))
         ids = dict(zip(distinct, words.encode(distinct)))
         out = []
@@ -145,7 +150,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         return _sent(out)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = Words(spec)
+        words = words_of(spec)
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()))
         pieces = _Pieces(words.pieces())
         out = []
@@ -173,9 +178,14 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "ids", "decoded")
 
 
-def _unjoined(text: str) -> list[str]:
-    """Words of a joined message: split at each NUL that is not marked as part of a word."""
-    return [w.replace("\0\1", "\1") for w in regex.split("\0(?!\1)", text)] if text else []
+def _message(words: list[str]) -> bytes:
+    return dump(_least(np.array([len(w) for w in words])), "".join(words))
+
+
+def _asked(body: bytes) -> list[str]:
+    lengths, joined = load(body)
+    end = np.cumsum(lengths.astype(np.int64))
+    return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist())]
 
 
 def _texts(rows: pa.Table):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_decode, read_vocabulary
 from tidemark.llm.common import table
 from tidemark.llm.suffix_dedup import remove_repeats
+from tidemark.llm.token_files import read_tokens, write_tokens
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +17,25 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup,)}
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Vocabulary file of the queries; other callers pass their own path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = read_vocabulary(spark, vocabulary_path())
+    out = encode_decode(table(spark, sf_dir, "documents"), spec)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = write_tokens(docs, read_vocabulary(spark, vocabulary_path()))
+    return read_tokens(store, docs.select("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_array_dedup, op6_bpe_encode_decode, op7_token_files)}
 SQL: dict[str, str] = {}
