@@ -49,7 +49,8 @@ def test_distinct_words_are_encoded_like_texts(spark):
     words = Words(read_vocabulary(spark, PATH))
     tokenizer = Tokenizer.from_file(PATH)
     for t in texts(6):
-        assert [i for ids in words.encode(words.split(t)) for i in ids] == tokenizer.encode(t, add_special_tokens=False).ids
+        keys = words.units(t, ())
+        assert [i for k in keys for w in words.split(k) for i in words.encode(w)] == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 400])

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import dump, load, packed, unpacked
 
-_BLOCK = 16 << 20
+_BLOCK = 32 << 20
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -32,24 +32,39 @@ def read_vocabulary(spark: SparkSession, path: str) -> str:
 
 
 class Words:
-    """Split of texts into words as the tokenizers library splits them, and their encoding by that library.
+    """Split of texts into words as the tokenizers library splits them, and their encoding by that library's model.
 
-    A string of an added token in a text is one word of its own; its id is that of the token.
+    Texts are split twice: at single blanks into units, which needs no pattern and is always a border of words,
+    and each distinct unit into words. A unit's key is the unit without its leading blank, or a blank and the unit
+    if it has none (the first of a text). The string of an added token in a text is one word of its own.
     """
 
     def __init__(self, spec: str):
         held = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [a["content"] for a in held["added_tokens"]]
-        strip = [a for a in held["added_tokens"] if a["single_word"] or a["lstrip"] or a["rstrip"]]
-        if strip:
-            raise ValueError("added tokens that change their surroundings are not supported")
-        self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.model = self.tokenizer.model
+        added = held["added_tokens"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or regex.search(r"\s", a["content"]) for a in added):
+            raise ValueError("added tokens that change their surroundings or hold blanks are not supported")
+        self.added = {a["content"]: a["id"] for a in added}
+        self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.words = regex.compile(_SPLIT).findall
-
-    def split(self, text: str) -> list[str]:
+        self.symbol = {b: c for c, b in byte_symbols().items()}
+
+    @staticmethod
+    def units(text: str, known) -> list[str]:
+        """Keys of a text's units; ``known`` holds keys met before. A text with other runs of white space is one unit."""
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        for k in set(keys).difference(known):
+            own = k[1:] if k[:1] == " " else k
+            if not own or own[0].isspace() or own[-1].isspace():
+                return [" " + text] if text else []
+        return keys
+
+    def split(self, key: str) -> list[str]:
+        """Words of a unit."""
+        text = key[1:] if key[0] == " " else " " + key
         if self.cut is None or not any(a in text for a in self.added):
             return self.words(text)
         out = []
@@ -57,17 +72,17 @@ class Words:
             out += [piece] if i % 2 else self.words(piece)
         return out
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        out = []
-        for at in range(0, len(words), 20_000):
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
-        return out
+    def encode(self, word: str) -> list[int]:
+        if word in self.added:
+            return [self.added[word]]
+        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))]
 
-    def pieces(self) -> dict[int, bytes]:
+    def pieces(self) -> list[bytes]:
         """Bytes of each id, as the library's byte-level decoder joins them."""
         table = byte_symbols()
-        out = {}
-        for piece, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = [b""] * (max(vocabulary.values()) + 1)
+        for piece, number in vocabulary.items():
             # a piece with a symbol outside the byte alphabet (an added token) stands for its own text
             out[number] = bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
         return out
@@ -94,15 +109,20 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.bi
 _TYPE = "bucket int, block long, body binary"
 
 
-def _distinct(texts, words: Words) -> dict[str, int]:
-    """Distinct words of a block, numbered as met."""
+def _distinct(texts, words: Words) -> tuple[dict[str, int], dict[str, int], list[list[str]]]:
+    """Distinct units and distinct words of a block, numbered as met, and the words of each unit."""
+    units: dict[str, int] = {}
     seen: dict[str, int] = {}
+    split = []
     for t in texts:
         if t:
-            for w in words.split(t):
-                if w not in seen:
-                    seen[w] = len(seen)
-    return seen
+            for u in set(words.units(t, units)).difference(units):
+                units[u] = len(units)
+                own = words.split(u)
+                split.append(own)
+                for w in own:
+                    seen.setdefault(w, len(seen))
+    return units, seen, split
 
 
 def _dealt(seen: dict[str, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -124,14 +144,14 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     and occurrences, and answers each block in the order it was asked. The block joins ids back by position.
     Decoding joins the ids with the table of pieces, which has one row per vocabulary entry.
     """
-    blocks = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))), "text", _BLOCK)
+    blocks = packed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))), "text", _BLOCK, level=9)
     n_buckets = max(blocks.count(), 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                bucket, _, ordered = _dealt(_distinct(_texts(unpacked(body)), words), n_buckets)
+                bucket, _, ordered = _dealt(_distinct(_texts(unpacked(body)), words)[1], n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cuts) if len(order) else ():
@@ -141,7 +161,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         words = words_of(spec)
         asked = [_asked(b) for b in sent.column("body").to_pylist()]
         distinct = sorted(set().union(*asked))
-        ids = dict(zip(distinct, words.encode(distinct)))
+        ids = {w: words.encode(w) for w in distinct}
         out = []
         for block, bucket, own in zip(sent.column("block").to_pylist(), sent.column("bucket").to_pylist(), asked):
             lengths = np.fromiter((len(ids[w]) for w in own), np.int64, len(own))
@@ -152,24 +172,29 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         words = words_of(spec)
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()))
-        pieces = _Pieces(words.pieces())
+        pieces = words.pieces()
         out = []
         for body in left.column("body").to_pylist():
             rows = unpacked(body)
-            seen = _distinct(_texts(rows), words)
+            units, seen, split = _distinct(_texts(rows), words)
             bucket, numbers, _ = _dealt(seen, n_buckets)
-            length, first, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
+            lengths, firsts, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
             for b, reply in replies.items():
                 own, ids = load(reply)
                 own = own.astype(np.int64)
                 place = numbers[bucket == b]
-                length[place], first[place] = own, at + np.cumsum(own) - own
+                lengths[place], firsts[place] = own, at + np.cumsum(own) - own
                 flat.append(ids.astype(np.int32))
                 at += len(ids)
-            flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            for piece in range(0, rows.num_rows, 256):  # bounded output
-                out += _joined(rows.slice(piece, 256), seen, words, length, first, flat, pieces)
-        return pa.Table.from_batches(out) if out else None
+            word = np.fromiter((seen[w] for own in split for w in own), np.int64)
+            flat, ends = _gathered(np.concatenate([*flat, np.zeros(0, np.int32)]), firsts[word], lengths[word])
+            unit_end = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))] if split else np.zeros(0, np.int64)
+            unit_first = np.concatenate([[0], unit_end[:-1]]) if split else unit_end
+            # each distinct unit meets the table of pieces once; its text is joined by position like its ids
+            text = [b"".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(unit_first.tolist(), unit_end.tolist())]
+            for at in range(0, rows.num_rows, 256):  # bounded output
+                out += _joined(rows.slice(at, 256), units, words, unit_first, unit_end - unit_first, flat, text)
+        return pa.Table.from_batches(out)
 
     kept = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     sent = blocks.mapInArrow(ask, _TYPE)
@@ -198,40 +223,24 @@ def _least(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
 
 
-class _Pieces:
-    """Id-to-piece table as one byte string with positions; joined by id without a loop over tokens."""
-
-    def __init__(self, pieces: dict[int, bytes]):
-        size = max(pieces) + 1
-        parts = [pieces.get(i, b"") for i in range(size)]
-        self.length = np.array([len(p) for p in parts], np.int64)
-        self.first = np.cumsum(self.length) - self.length
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-
-    def join(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all ids, and the end position of each id's bytes."""
-        length = self.length[ids]
-        end = np.cumsum(length)
-        total = int(end[-1]) if len(end) else 0
-        return self.data[np.arange(total) + np.repeat(self.first[ids] - (end - length), length)], end
+def _gathered(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` side by side, and the end of each run there."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return values[np.arange(total) + np.repeat(first - (end - length), length)], end
 
 
-def _joined(rows: pa.Table, seen, words: Words, length, first, flat, pieces: _Pieces) -> list[pa.RecordBatch]:
-    occurs, per = [], []
+def _joined(rows: pa.Table, units, words: Words, first, length, flat, text) -> list[pa.RecordBatch]:
+    occurs, per, decoded = [], [], []
     for t in _texts(rows):
-        own = [seen[w] for w in words.split(t)] if t else []
+        own = list(map(units.__getitem__, words.units(t, units))) if t else []
         occurs += own
         per.append(len(own))
-    word = np.array(occurs, np.int64)
-    n = length[word]
-    end = np.cumsum(n)
-    ids = flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first[word] - (end - n), n)]
-    stops = np.concatenate([[0], end])[np.cumsum([0, *per])]
-    data, ends = pieces.join(ids)
-    cut = np.concatenate([[0], ends])[stops]
+        decoded.append(b"".join(map(text.__getitem__, own)).decode("utf-8", "replace"))
+    unit = np.array(occurs, np.int64)
+    ids, ends = _gathered(flat, first[unit], length[unit])
+    stops = np.concatenate([[0], ends])[np.cumsum([0, *per])]
     lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids))
-    raw = data.tobytes()
-    decoded = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.string())
     keep = [rows.column(i).combine_chunks() for i, name in enumerate(rows.column_names) if name.startswith("k")]
     names = ["id", *(c for c in rows.column_names if c.startswith("k")), "ids", "decoded"]
-    return pa.Table.from_arrays([rows.column("id").combine_chunks(), *keep, lists, decoded], names=names).to_batches()
+    return pa.Table.from_arrays([rows.column("id").combine_chunks(), *keep, lists, pa.array(decoded, pa.string())], names=names).to_batches()

@@ -101,18 +101,20 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec)
-        known: dict[str, bytes] = {}
+        known: dict[str, bytes] = {}  # units met before, with their ids
+        end = np.array([END], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                split = [words.split(t) if t else [] for t in part.column(2).to_pylist()]
-                new = list({w for own in split for w in own if w not in known})
-                if len(known) + len(new) > 400_000:  # bounds the memory, not the result
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                split = [words.units(t.as_py(), known) if t.is_valid else () for t in part.column(2)]
+                new = set().union(*split).difference(known)
+                if len(known) + len(new) > 250_000:  # bounds the memory, not the result
                     known.clear()
-                    new = list({w for own in split for w in own})
-                known.update((w, np.array(ids, "<u2").tobytes()) for w, ids in zip(new, words.encode(new)))
-                end = np.array([END], "<u2").tobytes()
-                bodies = [b"".join([known[w] for w in own]) + end for own in split]
+                    new = set().union(*split)
+                own = {u: words.split(u) for u in new}
+                ids = {w: np.array(words.encode(w), "<u2").tobytes() for w in set().union(*own.values())}
+                known.update((u, b"".join([ids[w] for w in ws])) for u, ws in own.items())
+                bodies = [b"".join(map(known.__getitem__, keys)) + end for keys in split]
                 shard = np.searchsorted(cuts, np.asarray(part.column(0)), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["shard", "key", "none", "ids"])
 
