@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, n_tasks
+from tidemark.llm.common import components
 from tidemark.session import checkpointed
 
 SHINGLE = 4
 RADIUS = 4
-_TILE = 4096
+_TILE = 2048
+_PART = 1 << 17  # fingerprints of a part: 1 MB
+_CELLS = 1 << 18  # comparisons at a time
 _SEED = 42
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -52,73 +54,93 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, print long")
 
 
-def _tiles(group: pa.Table) -> pa.Table:
-    """Distinct fingerprints of one cell, ordered by quarter counts, as tiles with the bounds of their quarters."""
-    prints = np.sort(np.asarray(group.column("print")).view(np.uint64))
-    quarters = np.bitwise_count(prints.view(np.uint16).reshape(-1, 4)).astype(np.int64)
-    order = np.lexsort(quarters.T)
-    cell = group.column("cell")[0].as_py()
-    part = group.column("part")[0].as_py()
-    out = []
-    for i, at in enumerate(range(0, len(order), _TILE)):
-        own = order[at : at + _TILE]
-        out.append((cell, (part << 32) + i, quarters[own].min(axis=0).tolist(), quarters[own].max(axis=0).tolist(), prints[own].tobytes()))
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], names=["cell", "tile", "low", "high", "body"])
+def _ordered(group: pa.Table) -> pa.Table:
+    """Distinct fingerprints of one part of a cell, ordered by the bit counts of their quarters."""
+    prints = np.asarray(group.column("print")).view(np.uint64)
+    body = prints[np.lexsort(_quarters(prints).T)].tobytes()
+    return pa.table({"cell": pa.array([group.column("cell")[0].as_py()], pa.int32()), "part": pa.array([group.column("part")[0].as_py()], pa.int32()), "body": pa.array([body], pa.binary())})
 
 
-def _near(radius: int):
-    """Pairs of fingerprints within ``radius`` bits of two tiles, by exclusive-or and bit counts of whole rows."""
+def _quarters(prints: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)).astype(np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                rows = max((1 << 20) // max(len(b), 1), 1)
-                for at in range(0, len(a), rows):
-                    near = np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius
-                    x, y = np.nonzero(near)
-                    x += at
-                    if same:
-                        x, y = x[x < y], y[x < y]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[x].view(np.int64)), pa.array(b[y].view(np.int64))], names=["a", "b"])
 
-    return work
+def _bounds(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(0, len(prints), _TILE)
+    quarters = _quarters(prints)
+    return np.minimum.reduceat(quarters, at), np.maximum.reduceat(quarters, at)
+
+
+def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of fingerprints of ``a`` and ``b`` within ``radius`` bits, tile by tile.
+
+    Each row of a tile is compared with the whole other tile by exclusive-or and bit counts; a pair of tiles is
+    skipped if the bounds of its quarters' bit counts lie further apart than the radius.
+    """
+    (a_low, a_high), (b_low, b_high) = _bounds(a), _bounds(b)
+    for i in range(len(a_low)):
+        apart = np.maximum(np.maximum(a_low[i] - b_high, b_low - a_high[i]), 0).sum(axis=1)
+        for j in np.flatnonzero(apart <= radius):
+            if same and j < i:
+                continue
+            x, y = a[i * _TILE : (i + 1) * _TILE], b[j * _TILE : (j + 1) * _TILE]
+            rows = max(_CELLS // len(y), 1)
+            for at in range(0, len(x), rows):
+                u, v = np.nonzero(np.bitwise_count(x[at : at + rows, None] ^ y[None, :]) <= radius)
+                u += at
+                if same and i == j:
+                    u, v = u[u < v], v[u < v]
+                if len(u):
+                    yield x[u], y[v]
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of the distinct values of ``prints.print`` that differ in 1 to ``radius`` bits, each once.
+    """Pairs (a, b) of distinct values of ``prints.print`` that differ in 1 to ``radius`` bits, each once.
 
     Fingerprints are dealt to cells by the bit counts of their two halves; a fingerprint has all its neighbours in
-    cells whose two counts differ by ``radius`` in sum at most. A cell is cut into parts by a hash, a part into
-    tiles of 4,096, ordered by the bit counts of the four quarters. Two tiles are compared, whole, unless the
-    bounds of their counts lie further apart than the radius. The work is quadratic in the distinct
-    fingerprints, as exact comparison is; copies cost nothing, since equal fingerprints are one row.
+    cells whose two counts differ by ``radius`` in sum at most. A cell is cut into parts of about 2^17 by a hash,
+    and each pair of parts that can hold neighbours is compared whole, by tiles of 2,048, in one task. The
+    work is quadratic in the distinct fingerprints, as exact comparison is; equal fingerprints are one row.
     """
-    spark = prints.sparkSession
     distinct = checkpointed(prints.select("print").distinct())
-    n_parts = max(distinct.count() // (64 * _TILE), 1)  # parts of the fullest cells then hold some tiles each
     high, low = F.bit_count(F.shiftrightunsigned("print", 32)), F.bit_count(F.col("print").bitwiseAND(0xFFFFFFFF))
-    celled = distinct.select("print", (high * 64 + low).cast("int").alias("cell"), F.pmod(F.xxhash64("print"), F.lit(n_parts)).cast("int").alias("part"))
-    kind = "cell int, tile long, low array<long>, high array<long>, body binary"
-    tiles = checkpointed(celled.groupBy("cell", "part").applyInArrow(_tiles, kind))
-    # a tile goes to the cells within the radius; each pair of cells meets once, in the larger one
+    celled = distinct.select("print", (high * 64 + low).cast("int").alias("cell"))
+    # 33 x 33 cells at most, so the table of their sizes is small whatever the input
+    sizes = celled.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / _PART) + 1).cast("int").alias("parts"))
+    sizes = F.broadcast(checkpointed(sizes))
+    dealt = celled.join(sizes, "cell").select("print", "cell", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int").alias("part"))
+    parts = checkpointed(dealt.groupBy("cell", "part").applyInArrow(_ordered, "cell int, part int, body binary"))
+    # each pair of cells meets once, in the later one
     steps = [(h, w) for h in range(-radius, radius + 1) for w in range(-radius, radius + 1) if abs(h) + abs(w) <= radius and (h, w) >= (0, 0)]
-    reach = F.array(*(F.struct(F.lit(h * 64 + w).cast("int").alias("step"), F.lit(w).alias("w")) for h, w in steps))
-    sent = tiles.select("*", F.explode(reach).alias("to")).filter(F.expr("cell % 64 + to.w between 0 and 32"))
-    meta = ["tile", "low", "high"]
-    sent = sent.select((F.col("cell") + F.col("to.step")).alias("meet"), (F.col("to.step") == 0).alias("home"), *(F.col(c).alias(f"a_{c}") for c in meta))
-    away = F.aggregate(F.zip_with(F.arrays_zip("a_low", "a_high"), F.arrays_zip("low", "high"), lambda x, y: F.greatest(F.lit(0), x["a_low"] - y["high"], y["low"] - x["a_high"])), F.lit(0).cast("long"), lambda s, d: s + d)
-    pairs = (
-        sent.join(tiles.select(F.col("cell").alias("meet"), *meta), "meet")
-        .filter(~F.col("home") | (F.col("a_tile") <= F.col("tile")))
-        .filter(away <= radius)
-        .select(F.col("meet"), "home", "a_tile", "tile")
-    )
-    # bodies join the surviving pairs; a tile is named by its cell and number
-    pairs = pairs.join(sent.select("meet", "home", "a_tile").limit(0).select("meet").distinct(), "meet", "left")
-    return spark, tiles, pairs, steps
+    reach = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in steps)))
+    sent = parts.withColumn("to", reach).filter(F.expr("cell % 64 + to.w between 0 and 32"))
+    sent = sent.select(F.expr("cell + 64 * to.h + to.w").alias("cell"), F.expr("to.h = 0 and to.w = 0").alias("home"), F.col("part").alias("from_part"), F.col("body").alias("other"))
+    sent = sent.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = sent.filter("not home or from_part <= part").select("cell", "part", "other", F.expr("home and from_part = part").alias("same"))
+    pairs = sent.join(parts.hint("shuffle_hash"), ["cell", "part"]).select("other", "body", "same")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                for a, b in compare(np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64), radius, same):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    return pairs.mapInArrow(near, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    raise NotImplementedError
+    """One row per input row: ``id_col``, print (fingerprint as a long), component (least id reachable through links).
+
+    Words are runs of non-blank characters, A-Z in lower case; shingles are ``SHINGLE`` words, repeats included; a
+    text with fewer words is one shingle, one without words (or null) has fingerprint 0 and is linked like any
+    other. Documents link if their fingerprints differ in ``radius`` bits or fewer. Repeated rows are kept.
+    A null id is never the least; a component of null ids only has component null.
+    """
+    prints = checkpointed(fingerprints(docs, id_col, text_col))
+    least = checkpointed(prints.groupBy("print").agg(F.min("id").alias("least")))
+    # components of fingerprints; the name of one is its least id
+    member = checkpointed(components(least.select(F.col("print").alias("id")), links(least, radius)))
+    named = member.join(least.withColumnRenamed("print", "id"), "id").select(F.col("id").alias("print"), "component", "least")
+    names = named.groupBy("component").agg(F.min("least").alias("name"))
+    table = checkpointed(named.join(names, "component").select("print", F.col("name").alias("component")))
+    return prints.join(table, "print").select(F.col("id").alias(id_col), "print", "component")
