@@ -3,10 +3,11 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import Words, encode_decode, read_vocabulary
+from tidemark.llm.bpe import Words, encode_decode, read_vocabulary, units_of
 from tidemark.llm.token_files import read_tokens, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,9 +49,11 @@ def test_keeps_columns_and_empty_table(spark):
 def test_distinct_words_are_encoded_like_texts(spark):
     words = Words(read_vocabulary(spark, PATH))
     tokenizer = Tokenizer.from_file(PATH)
-    for t in texts(6):
-        keys = words.units(t, ())
-        assert [i for k in keys for w in words.split(k) for i in words.encode(w)] == tokenizer.encode(t, add_special_tokens=False).ids
+    rows = [*texts(6), "plain words, only. Here", " a", "a ", "a\nb c"]
+    units, place, first = units_of(pa.array([*rows, None]))
+    for t, a, b in zip([*rows, ""], first[:-1], first[1:]):
+        ids = [i for k in place[a:b] for w in words.split(units[k]) for i in words.encode(w)]
+        assert ids == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("shard_bytes", [1 << 24, 400])

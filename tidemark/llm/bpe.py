@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -20,6 +21,9 @@ _BLOCK = 32 << 20
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_SURE = "\u0250"  # below it, letters are letters in every version of Unicode in use
+_STOPS = (".", ",", ";", ":", "!", "?")
+
 
 def read_vocabulary(spark: SparkSession, path: str) -> str:
     """Text of a tokenizer file, read on the driver; its size is that of one vocabulary, checked here."""
@@ -31,12 +35,43 @@ def read_vocabulary(spark: SparkSession, path: str) -> str:
     return spec
 
 
+def units_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct units of a block of texts, the unit of each place, and the first place of each text (and the end).
+
+    A unit is what lies between two single blanks, with the blank before it; these are always borders of words. A
+    text with any other white space beside a blank or at its ends is one unit, as is a null or empty text.
+    """
+    split = pa.compute.split_pattern(texts.fill_null(""), " ")
+    coded = split.values.dictionary_encode()
+    pieces = coded.dictionary.to_pylist()
+    place = np.asarray(coded.indices).astype(np.int64)
+    first = np.asarray(split.offsets).astype(np.int64)
+    if not len(texts):
+        return [], place, first
+    odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in pieces), bool, len(pieces))
+    whole = np.flatnonzero(np.logical_or.reduceat(odd[place], first[:-1]))
+    units = [" " + p for p in pieces]
+    starts, at = np.unique(place[first[:-1]], return_inverse=True)  # the first unit of a text has no blank
+    place[first[:-1]] = len(units) + at
+    units += [pieces[i] for i in starts]
+    if len(whole):
+        count = np.diff(first)
+        is_whole = np.zeros(len(texts), bool)
+        is_whole[whole] = True
+        kept = place[np.repeat(~is_whole, count)]
+        count[whole] = 1
+        first = np.concatenate([[0], np.cumsum(count)])
+        place = np.empty(first[-1], np.int64)
+        place[np.repeat(~is_whole, count)] = kept
+        place[first[whole]] = len(units) + np.arange(len(whole))
+        units += [texts[int(i)].as_py() or "" for i in whole]
+    return units, place, first
+
+
 class Words:
-    """Split of texts into words as the tokenizers library splits them, and their encoding by that library's model.
+    """Split of units into words as the tokenizers library splits texts, and their encoding by that library's model.
 
-    Texts are split twice: at single blanks into units, which needs no pattern and is always a border of words,
-    and each distinct unit into words. A unit's key is the unit without its leading blank, or a blank and the unit
-    if it has none (the first of a text). The string of an added token in a text is one word of its own.
+    The string of an added token in a text is one word of its own.
     """
 
     def __init__(self, spec: str):
@@ -51,41 +86,44 @@ class Words:
         self.words = regex.compile(_SPLIT).findall
         self.symbol = {b: c for c, b in byte_symbols().items()}
 
-    @staticmethod
-    def units(text: str, known) -> list[str]:
-        """Keys of a text's units; ``known`` holds keys met before. A text with other runs of white space is one unit."""
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        for k in set(keys).difference(known):
-            own = k[1:] if k[:1] == " " else k
-            if not own or own[0].isspace() or own[-1].isspace():
-                return [" " + text] if text else []
-        return keys
-
-    def split(self, key: str) -> list[str]:
-        """Words of a unit."""
-        text = key[1:] if key[0] == " " else " " + key
-        if self.cut is None or not any(a in text for a in self.added):
-            return self.words(text)
+    def split(self, unit: str) -> list[str]:
+        body = unit[1:] if unit[:1] == " " else unit
+        if body.isalpha() and (body.isascii() or max(body) < _SURE):  # the two common kinds need no pattern
+            return [unit]
+        if body[-1:] in _STOPS and body[:-1].isalpha() and (body.isascii() or max(body) < _SURE) and not any(body[-1] in a for a in self.added):
+            return [unit[:-1], unit[-1]]
+        if self.cut is None or not any(a in unit for a in self.added):
+            return self.words(unit)
         out = []
-        for i, piece in enumerate(self.cut.split(text)):
+        for i, piece in enumerate(self.cut.split(unit)):
             out += [piece] if i % 2 else self.words(piece)
         return out
 
+    def distinct(self, units: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Distinct words of the units, numbered as met; the words of all units; the end of each unit there."""
+        seen: dict[str, int] = {}
+        word, end = array("l"), array("l")
+        for u in units:
+            for w in self.split(u):
+                word.append(seen.setdefault(w, len(seen)))
+            end.append(len(word))
+        return seen, np.frombuffer(word, np.int64) if word else np.zeros(0, np.int64), np.frombuffer(end, np.int64) if end else np.zeros(0, np.int64)
+
     def encode(self, word: str) -> list[int]:
         if word in self.added:
             return [self.added[word]]
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))]
 
-    def pieces(self) -> list[bytes]:
-        """Bytes of each id, as the library's byte-level decoder joins them."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id-to-piece table of the library's byte-level decoder: all bytes, first byte and length by id."""
         table = byte_symbols()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         out = [b""] * (max(vocabulary.values()) + 1)
         for piece, number in vocabulary.items():
             # a piece with a symbol outside the byte alphabet (an added token) stands for its own text
             out[number] = bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
-        return out
+        length = np.array([len(p) for p in out], np.int64)
+        return np.frombuffer(b"".join(out), np.uint8), np.cumsum(length) - length, length
 
 
 @lru_cache(1)
@@ -109,22 +147,6 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.bi
 _TYPE = "bucket int, block long, body binary"
 
 
-def _distinct(texts, words: Words) -> tuple[dict[str, int], dict[str, int], list[list[str]]]:
-    """Distinct units and distinct words of a block, numbered as met, and the words of each unit."""
-    units: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    split = []
-    for t in texts:
-        if t:
-            for u in set(words.units(t, units)).difference(units):
-                units[u] = len(units)
-                own = words.split(u)
-                split.append(own)
-                for w in own:
-                    seen.setdefault(w, len(seen))
-    return units, seen, split
-
-
 def _dealt(seen: dict[str, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words in sorted order with the bucket of each and its number in the block."""
     ordered = sorted(seen)
@@ -151,7 +173,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                bucket, _, ordered = _dealt(_distinct(_texts(unpacked(body)), words)[1], n_buckets)
+                bucket, _, ordered = _dealt(words.distinct(units_of(_text(unpacked(body)))[0])[0], n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 for part in np.split(order, cuts) if len(order) else ():
@@ -172,28 +194,30 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         words = words_of(spec)
         replies = dict(zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()))
-        pieces = words.pieces()
+        piece_bytes, piece_first, piece_length = words.pieces()
         out = []
         for body in left.column("body").to_pylist():
             rows = unpacked(body)
-            units, seen, split = _distinct(_texts(rows), words)
+            units, place, first = units_of(_text(rows))
+            seen, word, unit_words = words.distinct(units)
             bucket, numbers, _ = _dealt(seen, n_buckets)
+            asked = np.argsort(bucket, kind="stable")
+            bucket, numbers = bucket[asked], numbers[asked]
             lengths, firsts, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
             for b, reply in replies.items():
                 own, ids = load(reply)
                 own = own.astype(np.int64)
-                place = numbers[bucket == b]
-                lengths[place], firsts[place] = own, at + np.cumsum(own) - own
+                slot = numbers[np.searchsorted(bucket, b) : np.searchsorted(bucket, b, "right")]
+                lengths[slot], firsts[slot] = own, at + np.cumsum(own) - own
                 flat.append(ids.astype(np.int32))
                 at += len(ids)
-            word = np.fromiter((seen[w] for own in split for w in own), np.int64)
-            flat, ends = _gathered(np.concatenate([*flat, np.zeros(0, np.int32)]), firsts[word], lengths[word])
-            unit_end = np.concatenate([[0], ends])[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))] if split else np.zeros(0, np.int64)
-            unit_first = np.concatenate([[0], unit_end[:-1]]) if split else unit_end
-            # each distinct unit meets the table of pieces once; its text is joined by position like its ids
-            text = [b"".join([pieces[i] for i in flat[a:b].tolist()]) for a, b in zip(unit_first.tolist(), unit_end.tolist())]
+            # ids and bytes of the distinct units, joined by position; then those of the texts, likewise
+            flat, ends = gathered(np.concatenate([*flat, np.zeros(0, np.int32)]), firsts[word], lengths[word])
+            n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
+            spelled, ends = gathered(piece_bytes, piece_first[flat], piece_length[flat])
+            n_bytes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_ids)])])
             for at in range(0, rows.num_rows, 256):  # bounded output
-                out += _joined(rows.slice(at, 256), units, words, unit_first, unit_end - unit_first, flat, text)
+                out += _joined(rows.slice(at, 256), place, first[at : at + 257], (flat, n_ids), (spelled, n_bytes))
         return pa.Table.from_batches(out)
 
     kept = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
@@ -213,34 +237,35 @@ def _asked(body: bytes) -> list[str]:
     return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist())]
 
 
-def _texts(rows: pa.Table):
-    for chunk in rows.column("text").chunks:
-        for t in chunk:
-            yield t.as_py()
+def _text(rows: pa.Table) -> pa.Array:
+    return pa.concat_arrays([*rows.column("text").chunks, pa.array([], pa.string())])
 
 
 def _least(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
 
 
-def _gathered(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gathered(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of ``values`` side by side, and the end of each run there."""
     end = np.cumsum(length)
     total = int(end[-1]) if len(end) else 0
     return values[np.arange(total) + np.repeat(first - (end - length), length)], end
 
 
-def _joined(rows: pa.Table, units, words: Words, first, length, flat, text) -> list[pa.RecordBatch]:
-    occurs, per, decoded = [], [], []
-    for t in _texts(rows):
-        own = list(map(units.__getitem__, words.units(t, units))) if t else []
-        occurs += own
-        per.append(len(own))
-        decoded.append(b"".join(map(text.__getitem__, own)).decode("utf-8", "replace"))
-    unit = np.array(occurs, np.int64)
-    ids, ends = _gathered(flat, first[unit], length[unit])
-    stops = np.concatenate([[0], ends])[np.cumsum([0, *per])]
-    lists = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids))
+def of_texts(place: np.ndarray, first: np.ndarray, runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of some texts (their units' runs side by side), and the border of each text there."""
+    values, length = runs
+    unit = place[first[0] : first[-1]]
+    out, end = gathered(values, (np.cumsum(length) - length)[unit], length[unit])
+    return out, np.concatenate([[0], end])[first - first[0]]
+
+
+def _joined(rows: pa.Table, place, first, ids, spelled) -> list[pa.RecordBatch]:
+    ids, border = of_texts(place, first, ids)
+    lists = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(ids))
+    raw, border = of_texts(place, first, spelled)
+    raw = raw.tobytes()
+    decoded = [raw[a:b].decode("utf-8", "replace") for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
     keep = [rows.column(i).combine_chunks() for i, name in enumerate(rows.column_names) if name.startswith("k")]
     names = ["id", *(c for c in rows.column_names if c.startswith("k")), "ids", "decoded"]
     return pa.Table.from_arrays([rows.column("id").combine_chunks(), *keep, lists, pa.array(decoded, pa.string())], names=names).to_batches()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.anchors import mix
-from tidemark.llm.bpe import words_of
+from tidemark.llm.bpe import gathered, of_texts, units_of, words_of
 from tidemark.llm.common import range_bounds
 from tidemark.session import fresh_path
 
@@ -32,6 +33,7 @@ _PER_BUCKET = 4096  # keys of one hash function, on average
 _PER_GROUP = 4
 _SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("place", "<u4"), ("copies", "<u4"), ("n", "<u4"), ("first", "<u8"), ("start", "<u8")])
 _NULL = -(1 << 63)
+_AT_ONCE = 12 << 20  # bytes of text encoded together
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def _write(df: DataFrame, part: str, path: str) -> None:
     df.select(part, F.col("body").cast("string").alias("value")).write.partitionBy(part).text(path)
 
 
-def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, path: str | None = None) -> TokenStore:
+def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, path: str | None = None) -> TokenStore:
     """Encode whole texts (null: empty), append id 0 to each, and write shards and index; ``spec``: see ``bpe``.
 
     Shards are ranges of the key, in ascending order, of about ``shard_bytes``; rows that repeat a key are all
@@ -101,22 +103,28 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec)
-        known: dict[str, bytes] = {}  # units met before, with their ids
-        end = np.array([END], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                split = [words.units(t.as_py(), known) if t.is_valid else () for t in part.column(2)]
-                new = set().union(*split).difference(known)
-                if len(known) + len(new) > 250_000:  # bounds the memory, not the result
-                    known.clear()
-                    new = set().union(*split)
-                own = {u: words.split(u) for u in new}
-                ids = {w: np.array(words.encode(w), "<u2").tobytes() for w in set().union(*own.values())}
-                known.update((u, b"".join([ids[w] for w in ws])) for u, ws in own.items())
-                bodies = [b"".join(map(known.__getitem__, keys)) + end for keys in split]
+            width = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(width) // _AT_ONCE, prepend=0))
+            for at, to in zip([0, *cut], [*cut, batch.num_rows]):
+                if at == to:
+                    continue
+                part = batch.slice(at, to - at)
+                units, place, first = units_of(part.column(2))
+                seen, word, unit_words = words.distinct(units)
+                ids = [words.encode(w) for w in seen]
+                length = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), "<u2", int(length.sum()))
+                flat, ends = gathered(flat, (np.cumsum(length) - length)[word], length[word])
+                n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
+                flat, border = of_texts(place, first, (flat, n_ids))
+                # the end id after each text's ids
+                flat = np.insert(flat, border[1:], END)
+                border = (border + np.arange(len(border))) * 2
+                bodies = pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer(border.astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
                 shard = np.searchsorted(cuts, np.asarray(part.column(0)), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column(0), part.column(1), pa.array(bodies, pa.binary())], names=["shard", "key", "none", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column(0), part.column(1), bodies], names=["shard", "key", "none", "ids"])
+            pa.default_memory_pool().release_unused()
 
     def shape(group: pa.Table) -> pa.Table:
         group = group.sort_by([("none", "descending"), ("key", "ascending"), ("ids", "ascending")])
