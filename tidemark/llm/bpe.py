@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -21,8 +21,7 @@ _BLOCK = 32 << 20
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_SURE = "\u0250"  # below it, letters are letters in every version of Unicode in use
-_STOPS = (".", ",", ";", ":", "!", "?")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"  # letters in every version of Unicode in use
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> str:
@@ -84,14 +83,11 @@ class Words:
         self.added = {a["content"]: a["id"] for a in added}
         self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.words = regex.compile(_SPLIT).findall
+        self.plain = not any(regex.fullmatch(r"[\p{L}.,;:!?]+", a) for a in self.added)
+        self.known: dict[str, list[int]] = {}
         self.symbol = {b: c for c, b in byte_symbols().items()}
 
     def split(self, unit: str) -> list[str]:
-        body = unit[1:] if unit[:1] == " " else unit
-        if body.isalpha() and (body.isascii() or max(body) < _SURE):  # the two common kinds need no pattern
-            return [unit]
-        if body[-1:] in _STOPS and body[:-1].isalpha() and (body.isascii() or max(body) < _SURE) and not any(body[-1] in a for a in self.added):
-            return [unit[:-1], unit[-1]]
         if self.cut is None or not any(a in unit for a in self.added):
             return self.words(unit)
         out = []
@@ -99,20 +95,38 @@ class Words:
             out += [piece] if i % 2 else self.words(piece)
         return out
 
-    def distinct(self, units: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-        """Distinct words of the units, numbered as met; the words of all units; the end of each unit there."""
-        seen: dict[str, int] = {}
-        word, end = array("l"), array("l")
-        for u in units:
-            for w in self.split(u):
-                word.append(seen.setdefault(w, len(seen)))
-            end.append(len(word))
-        return seen, np.frombuffer(word, np.int64) if word else np.zeros(0, np.int64), np.frombuffer(end, np.int64) if end else np.zeros(0, np.int64)
+    def distinct(self, units: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words of the units; the words of all units by their numbers; the end of each unit there."""
+        held = pa.array(units, pa.string())
+        kind = np.zeros(len(units), np.int64)
+        if self.plain:  # the two common kinds, letters and letters with a stop, need no pattern of the library
+            kind = np.asarray(pa.compute.match_substring_regex(held, f"^ ?[{_LETTERS}]+$")).astype(np.int64)
+            kind += 2 * np.asarray(pa.compute.match_substring_regex(held, f"^ ?[{_LETTERS}]+[.,;:!?]$"))
+        stopped = held.filter(pa.array(kind == 2))
+        rest = [self.split(units[i]) for i in np.flatnonzero(kind == 0).tolist()]
+        count = kind.copy()
+        count[kind == 0] = list(map(len, rest))
+        first = np.cumsum(count) - count
+        parts = [held.filter(pa.array(kind == 1)), pa.compute.utf8_slice_codeunits(stopped, 0, -1), pa.compute.utf8_slice_codeunits(stopped, -1), pa.array(list(chain.from_iterable(rest)), pa.string())]
+        coded = pa.concat_arrays([p.cast(pa.string()) for p in parts]).dictionary_encode()
+        number = np.asarray(coded.indices).astype(np.int64)
+        at = np.cumsum([len(p) for p in parts])
+        word = np.empty(int(count.sum()), np.int64)
+        word[first[kind == 1]] = number[: at[0]]
+        word[first[kind == 2]] = number[at[0] : at[1]]
+        word[first[kind == 2] + 1] = number[at[1] : at[2]]
+        word[np.repeat(kind == 0, count)] = number[at[2] :]
+        return coded.dictionary.to_pylist(), word, first + count
 
     def encode(self, word: str) -> list[int]:
-        if word in self.added:
-            return [self.added[word]]
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))]
+        got = self.known.get(word)
+        if got is None:
+            if word in self.added:
+                return [self.added[word]]
+            got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))]
+            if len(self.known) < 200_000:  # the words met first, the common ones among them
+                self.known[word] = got
+        return got
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id-to-piece table of the library's byte-level decoder: all bytes, first byte and length by id."""
@@ -147,11 +161,12 @@ _SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.bi
 _TYPE = "bucket int, block long, body binary"
 
 
-def _dealt(seen: dict[str, int], n_buckets: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words in sorted order with the bucket of each and its number in the block."""
-    ordered = sorted(seen)
-    bucket = np.fromiter((crc32(w.encode()) % n_buckets for w in ordered), np.int64, len(ordered))
-    return bucket, np.fromiter((seen[w] for w in ordered), np.int64, len(ordered)), ordered
+def _dealt(words: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words by bucket and in sorted order there, and their buckets."""
+    bucket = np.fromiter((crc32(w.encode()) % n_buckets for w in words), np.int64, len(words))
+    order = np.asarray(pa.compute.sort_indices(pa.array(words, pa.string()))).astype(np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return order, bucket[order]
 
 
 def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -173,11 +188,12 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                bucket, _, ordered = _dealt(words.distinct(units_of(_text(unpacked(body)))[0])[0], n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts) if len(order) else ():
-                    yield from _sent([(int(bucket[part[0]]), number, _message([ordered[i] for i in part]))]).to_batches()
+                own = words.distinct(units_of(_text(unpacked(body)))[0])[0]
+                order, bucket = _dealt(own, n_buckets)
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                for at, part in zip([0, *cuts], np.split(order, cuts) if len(order) else ()):
+                    yield from _sent([(int(bucket[at]), number, _message([own[i] for i in part.tolist()]))]).to_batches()
+        pa.default_memory_pool().release_unused()
 
     def answer(sent: pa.Table) -> pa.Table:
         words = words_of(spec)
@@ -200,9 +216,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
             rows = unpacked(body)
             units, place, first = units_of(_text(rows))
             seen, word, unit_words = words.distinct(units)
-            bucket, numbers, _ = _dealt(seen, n_buckets)
-            asked = np.argsort(bucket, kind="stable")
-            bucket, numbers = bucket[asked], numbers[asked]
+            numbers, bucket = _dealt(seen, n_buckets)
             lengths, firsts, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
             for b, reply in replies.items():
                 own, ids = load(reply)

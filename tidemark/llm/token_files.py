@@ -33,7 +33,7 @@ _PER_BUCKET = 4096  # keys of one hash function, on average
 _PER_GROUP = 4
 _SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("place", "<u4"), ("copies", "<u4"), ("n", "<u4"), ("first", "<u8"), ("start", "<u8")])
 _NULL = -(1 << 63)
-_AT_ONCE = 12 << 20  # bytes of text encoded together
+_AT_ONCE = 6 << 20  # bytes of text encoded together
 
 
 @dataclass(frozen=True)
