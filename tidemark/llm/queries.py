@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_decode, read_vocabulary
 from tidemark.llm.common import table
 from tidemark.llm.chat import format_chats, read_back, turn_events
+from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.fingerprints import next_likeness
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_files import read_tokens, write_tokens
+from tidemark.llm.url_filter import filter_urls
+
+
+#: The rules of the query, by host, path and verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("host", "path", "verdict")))) for r in URL_RULES)))
+    rules = spark.range(1).select(rules.alias("r")).select("r.*")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +79,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -86,9 +103,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP9_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+    SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS run
+    FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+    SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS run
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, run)),
+hw AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
+"""
+
 _ALL = (
-    op2_suffix_array_dedup, op3_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
-    op8_chat_formatting, op10_line_dedup,
+    op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
+    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
