@@ -10,12 +10,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import dump, load, packed, unpacked
+from tidemark.llm.common import dump, load, packed, release_memory, unpacked
 
 _BLOCK = 32 << 20
 #: The split of byte-level BPE files of this kind, before the merges.
@@ -193,7 +194,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for at, part in zip([0, *cuts], np.split(order, cuts) if len(order) else ()):
                     yield from _sent([(int(bucket[at]), number, _message([own[i] for i in part.tolist()]))]).to_batches()
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     def answer(sent: pa.Table) -> pa.Table:
         words = words_of(spec)
@@ -232,6 +233,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
             n_bytes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_ids)])])
             for at in range(0, rows.num_rows, 256):  # bounded output
                 out += _joined(rows.slice(at, 256), place, first[at : at + 257], (flat, n_ids), (spelled, n_bytes))
+        release_memory()
         return pa.Table.from_batches(out)
 
     kept = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,13 @@ def load(body: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(body))
 
 
+def release_memory() -> None:
+    """Give a worker's freed memory back to its machine: workers live on between tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(df: DataFrame, text: str, block_bytes: int, level: int = 3) -> DataFrame:
     """``df`` as a written table of compressed blocks: block (unique number), n (rows), body.
 

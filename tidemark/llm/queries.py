@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_files import read_tokens, write_tokens
+from tidemark.llm.toxicity import score, train
 from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.vocabulary import vocabulary_path
 
 
 #: The rules of the query, by host, path and verdict.
@@ -33,13 +36,6 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    """Vocabulary file of the queries; other callers pass their own path."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = read_vocabulary(spark, vocabulary_path())
     out = encode_decode(table(spark, sf_dir, "documents"), spec)
@@ -57,6 +53,17 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_likeness(table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    out = score(docs, model).withColumn("held_out", held_out())
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -125,8 +132,8 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 _ALL = (
-    op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
+    op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op4_toxicity, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
     op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}

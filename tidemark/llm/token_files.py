@@ -19,13 +19,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.anchors import mix
 from tidemark.llm.bpe import gathered, of_texts, units_of, words_of
-from tidemark.llm.common import range_bounds
+from tidemark.llm.common import range_bounds, release_memory
 from tidemark.session import fresh_path
 
 END = 0
@@ -124,7 +125,7 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
                 bodies = pa.Array.from_buffers(pa.binary(), len(border) - 1, [None, pa.py_buffer(border.astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
                 shard = np.searchsorted(cuts, np.asarray(part.column(0)), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), part.column(0), part.column(1), bodies], names=["shard", "key", "none", "ids"])
-            pa.default_memory_pool().release_unused()
+                release_memory()
 
     def shape(group: pa.Table) -> pa.Table:
         group = group.sort_by([("none", "descending"), ("key", "ascending"), ("ids", "ascending")])
