@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import dump, load, packed, release_memory, unpacked
 
 _BLOCK = 32 << 20
+_AT_ONCE = 6 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -189,7 +190,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                own = words.distinct(units_of(_text(unpacked(body)))[0])[0]
+                own = list(_words_of_block(_text(unpacked(body)), words))
                 order, bucket = _dealt(own, n_buckets)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for at, part in zip([0, *cuts], np.split(order, cuts) if len(order) else ()):
@@ -215,9 +216,9 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         out = []
         for body in left.column("body").to_pylist():
             rows = unpacked(body)
-            units, place, first = units_of(_text(rows))
-            seen, word, unit_words = words.distinct(units)
-            numbers, bucket = _dealt(seen, n_buckets)
+            texts = _text(rows)
+            seen = _words_of_block(texts, words)
+            numbers, bucket = _dealt(list(seen), n_buckets)
             lengths, firsts, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
             for b, reply in replies.items():
                 own, ids = load(reply)
@@ -226,13 +227,20 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 lengths[slot], firsts[slot] = own, at + np.cumsum(own) - own
                 flat.append(ids.astype(np.int32))
                 at += len(ids)
-            # ids and bytes of the distinct units, joined by position; then those of the texts, likewise
-            flat, ends = gathered(np.concatenate([*flat, np.zeros(0, np.int32)]), firsts[word], lengths[word])
-            n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
-            spelled, ends = gathered(piece_bytes, piece_first[flat], piece_length[flat])
-            n_bytes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_ids)])])
-            for at in range(0, rows.num_rows, 256):  # bounded output
-                out += _joined(rows.slice(at, 256), place, first[at : at + 257], (flat, n_ids), (spelled, n_bytes))
+            flat = np.concatenate([*flat, np.zeros(0, np.int32)])
+            for a, b in slices(texts, _AT_ONCE):
+                units, place, first = units_of(texts.slice(a, b - a))
+                own, word, unit_words = words.distinct(units)
+                word = np.fromiter((seen[w] for w in own), np.int64, len(own))[word]
+                # ids and bytes of the distinct units, joined by position; then those of the texts, likewise
+                unit_ids, ends = gathered(flat, firsts[word], lengths[word])
+                n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
+                spelled, ends = gathered(piece_bytes, piece_first[unit_ids], piece_length[unit_ids])
+                n_bytes = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_ids)])])
+                for at in range(a, b, 256):  # bounds the memory
+                    to = min(at + 256, b)
+                    out += _joined(rows.slice(at, to - at), place, first[at - a : to - a + 1], (unit_ids, n_ids), (spelled, n_bytes))
+                release_memory()
         release_memory()
         return pa.Table.from_batches(out)
 
@@ -253,6 +261,22 @@ def _asked(body: bytes) -> list[str]:
     return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist())]
 
 
+def slices(texts: pa.Array, at_once: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``at_once`` bytes of text, whole rows, none empty."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // at_once, prepend=0))
+    return [(a, b) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]) if a < b]
+
+
+def _words_of_block(texts: pa.Array, words: Words) -> dict[str, int]:
+    """Distinct words of a block, numbered as met; units are held for a slice at a time."""
+    seen: dict[str, int] = {}
+    for a, b in slices(texts, _AT_ONCE):
+        for w in words.distinct(units_of(texts.slice(a, b - a))[0])[0]:
+            seen.setdefault(w, len(seen))
+    return seen
+
+
 def _text(rows: pa.Table) -> pa.Array:
     return pa.concat_arrays([*rows.column("text").chunks, pa.array([], pa.string())])
 

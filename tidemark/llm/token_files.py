@@ -19,13 +19,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.anchors import mix
-from tidemark.llm.bpe import gathered, of_texts, units_of, words_of
+from tidemark.llm.bpe import gathered, of_texts, slices, units_of, words_of
 from tidemark.llm.common import range_bounds, release_memory
 from tidemark.session import fresh_path
 
@@ -34,7 +33,7 @@ _PER_BUCKET = 4096  # keys of one hash function, on average
 _PER_GROUP = 4
 _SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("place", "<u4"), ("copies", "<u4"), ("n", "<u4"), ("first", "<u8"), ("start", "<u8")])
 _NULL = -(1 << 63)
-_AT_ONCE = 6 << 20  # bytes of text encoded together
+_AT_ONCE = 4 << 20  # bytes of text encoded together
 
 
 @dataclass(frozen=True)
@@ -105,11 +104,7 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(spec)
         for batch in batches:
-            width = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(np.cumsum(width) // _AT_ONCE, prepend=0))
-            for at, to in zip([0, *cut], [*cut, batch.num_rows]):
-                if at == to:
-                    continue
+            for at, to in slices(batch.column(2), _AT_ONCE):
                 part = batch.slice(at, to - at)
                 units, place, first = units_of(part.column(2))
                 seen, word, unit_words = words.distinct(units)
