@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import dump, load, packed, release_memory, unpacked
+from tidemark.llm.common import dump, load, packed, release_memory, slices, unpacked
 
 _BLOCK = 32 << 20
-_AT_ONCE = 6 << 20  # bytes of text whose units are held together
+_AT_ONCE = 3 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -207,6 +207,8 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
             lengths = np.fromiter((len(ids[w]) for w in own), np.int64, len(own))
             flat = np.fromiter((i for w in own for i in ids[w]), np.int64, int(lengths.sum()))
             out.append((bucket, block, dump(_least(lengths), _least(flat))))
+        ids.clear()
+        release_memory()
         return _sent(out)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -261,19 +263,13 @@ def _asked(body: bytes) -> list[str]:
     return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist())]
 
 
-def slices(texts: pa.Array, at_once: int) -> list[tuple[int, int]]:
-    """Ranges of rows of about ``at_once`` bytes of text, whole rows, none empty."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // at_once, prepend=0))
-    return [(a, b) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]) if a < b]
-
-
 def _words_of_block(texts: pa.Array, words: Words) -> dict[str, int]:
     """Distinct words of a block, numbered as met; units are held for a slice at a time."""
     seen: dict[str, int] = {}
     for a, b in slices(texts, _AT_ONCE):
         for w in words.distinct(units_of(texts.slice(a, b - a))[0])[0]:
             seen.setdefault(w, len(seen))
+    release_memory()
     return seen
 
 

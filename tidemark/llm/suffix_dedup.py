@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import anchors
 from tidemark.llm.anchors import WINDOW
-from tidemark.llm.common import dump, load, packed, unpacked, utf8_bytes
+from tidemark.llm.common import dump, load, packed, release_memory, unpacked, utf8_bytes
 from tidemark.llm.merged_bwt import merge, transform
 from tidemark.session import checkpointed
 
@@ -174,6 +174,7 @@ def _merged(sent: pa.Table) -> pa.Table:
         for block, own, _ in single:
             out.append((block, 2, bucket, dump(np.packbits(least[at : at + len(own)] < doc[at : at + len(own)]))))
             at += len(own)
+    release_memory()
     return _rows(out, _BACK)
 
 
@@ -218,10 +219,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for bucket, digest, doc, _, _ in block.windows(need, n_merges):
                 new = _first_of(digest)
                 out.append((bucket, 2, number, dump(digest[new], doc[new])))
+        release_memory()
         return _rows(out, _SENT)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [_cut(_Block(body, n_buckets), right, n_merges) for body in left.column("body").to_pylist()]
+        release_memory()
         return pa.concat_tables(out) if out else _CUT.empty_table()
 
     sent_type = "bucket int, kind int, block long, body binary"

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.anchors import mix
-from tidemark.llm.bpe import gathered, of_texts, slices, units_of, words_of
-from tidemark.llm.common import range_bounds, release_memory
+from tidemark.llm.bpe import gathered, of_texts, units_of, words_of
+from tidemark.llm.common import range_bounds, release_memory, slices
 from tidemark.session import fresh_path
 
 END = 0
@@ -128,6 +128,7 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
         lengths = np.array([len(b) // 2 for b in bodies], "<u4")
         payload = b"".join([*bodies, lengths.tobytes(), np.array([len(bodies)], "<u8").tobytes()])
         keys = np.asarray(group.column("key")).astype("<i8").tobytes() + np.asarray(group.column("none")).astype("u1").tobytes()
+        release_memory()
         return pa.table({"shard": [group.column("shard")[0].as_py()] * 2, "kind": ["ids", "keys"], "body": pa.array([payload, keys], pa.binary())})
 
     if len(words_of(spec).pieces()) > 1 << 16:
@@ -255,6 +256,7 @@ def read_tokens(store: TokenStore, keys: DataFrame, with_ids: bool = False) -> D
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(wide.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "place", "first", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+            release_memory()
 
     ids = ", ids array<int>" if with_ids else ""
     read = _shards(store, "ids").mapInArrow(scan, f"shard long, place long, first long, n_tokens long, ids_crc32 long{ids}")

@@ -18,9 +18,11 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release_memory, slices
+
 DECAY, SPAN, LONGEST = 0.6, 12, 24
 _CODES, _START, _END, _GAP = 64, 27, 28, 63
-_AT_ONCE = 8 << 20
+_AT_ONCE = 3 << 20  # bytes of text scored together
 
 
 @lru_cache(1)
@@ -52,8 +54,8 @@ def _windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for n in np.unique(lengths[lengths <= LONGEST]).tolist():
         if n >= 5:
             own = np.flatnonzero(lengths == n)
-            for at in range(0, len(own), 50_000 // n):
-                part = own[at : at + 50_000 // n]
+            for at in range(0, len(own), 20_000 // n):
+                part = own[at : at + 20_000 // n]
                 yield part, codes[first[part][:, None] + np.arange(n)]
     for w in np.flatnonzero(lengths > LONGEST).tolist():
         starts = np.unique(np.append(np.arange(0, lengths[w] - LONGEST, LONGEST // 2), lengths[w] - LONGEST))
@@ -255,6 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words, place, first = words_in(batch.column(1))
             own = [[words[w] for w in np.unique(place[a:b])] for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.string()))], names=["id", "y", "words"])
+            release_memory()
 
     found = texts.join(F.broadcast(picked), "id").select("id", "text", "y").mapInArrow(bag, "id long, y int, words array<string>").toArrow()
     found = found.sort_by("id")
@@ -276,11 +279,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(np.cumsum(size) // _AT_ONCE, prepend=0))
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if a == b:
-                    continue
+            for a, b in slices(batch.column(at), _AT_ONCE):
                 part = batch.slice(a, b - a)
                 words, place, first = words_in(part.column(at))
                 worst = np.full(part.num_rows, model.bias, np.float32)
@@ -289,6 +288,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                     some = np.flatnonzero(np.diff(first))
                     worst[some] = np.maximum.reduceat(value, first[some])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.chance(worst))], names=[*part.schema.names, "score"])
+                release_memory()
 
     fields = [f"c{i} {renamed.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(kept))]
     scored = renamed.mapInArrow(work, ", ".join([*fields, "score double"]))
