@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import dump, load, packed, release_memory, slices, unpacked
 
 _BLOCK = 32 << 20
-_AT_ONCE = 3 << 20  # bytes of text whose units are held together
+_AT_ONCE = 8 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -242,7 +242,6 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 for at in range(a, b, 256):  # bounds the memory
                     to = min(at + 256, b)
                     out += _joined(rows.slice(at, to - at), place, first[at - a : to - a + 1], (unit_ids, n_ids), (spelled, n_bytes))
-                release_memory()
         release_memory()
         return pa.Table.from_batches(out)
 
