@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import dump, load, packed, release_memory, slices, unpacked
 
 _BLOCK = 32 << 20
-_AT_ONCE = 8 << 20  # bytes of text whose units are held together
+_AT_ONCE = 6 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -190,7 +190,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         words = words_of(spec)
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                own = list(_words_of_block(_text(unpacked(body)), words))
+                own = list(_words_of_block(_text(unpacked(body)), words)[0])
                 order, bucket = _dealt(own, n_buckets)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for at, part in zip([0, *cuts], np.split(order, cuts) if len(order) else ()):
@@ -218,8 +218,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
         out = []
         for body in left.column("body").to_pylist():
             rows = unpacked(body)
-            texts = _text(rows)
-            seen = _words_of_block(texts, words)
+            seen, parts = _words_of_block(_text(rows), words)
             numbers, bucket = _dealt(list(seen), n_buckets)
             lengths, firsts, flat, at = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), [], 0
             for b, reply in replies.items():
@@ -230,10 +229,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 flat.append(ids.astype(np.int32))
                 at += len(ids)
             flat = np.concatenate([*flat, np.zeros(0, np.int32)])
-            for a, b in slices(texts, _AT_ONCE):
-                units, place, first = units_of(texts.slice(a, b - a))
-                own, word, unit_words = words.distinct(units)
-                word = np.fromiter((seen[w] for w in own), np.int64, len(own))[word]
+            for a, b, place, first, word, unit_words in parts:
                 # ids and bytes of the distinct units, joined by position; then those of the texts, likewise
                 unit_ids, ends = gathered(flat, firsts[word], lengths[word])
                 n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
@@ -242,6 +238,7 @@ def encode_decode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col:
                 for at in range(a, b, 256):  # bounds the memory
                     to = min(at + 256, b)
                     out += _joined(rows.slice(at, to - at), place, first[at - a : to - a + 1], (unit_ids, n_ids), (spelled, n_bytes))
+                release_memory()
         release_memory()
         return pa.Table.from_batches(out)
 
@@ -262,14 +259,19 @@ def _asked(body: bytes) -> list[str]:
     return [joined[a:b] for a, b in zip((end - lengths).tolist(), end.tolist())]
 
 
-def _words_of_block(texts: pa.Array, words: Words) -> dict[str, int]:
-    """Distinct words of a block, numbered as met; units are held for a slice at a time."""
+def _words_of_block(texts: pa.Array, words: Words) -> tuple[dict[str, int], list[tuple]]:
+    """Distinct words of a block, numbered as met, and for each slice of it: rows, unit of each place, first places,
+    words of the distinct units, end of each unit there. Strings of units are held for a slice at a time."""
     seen: dict[str, int] = {}
+    parts = []
     for a, b in slices(texts, _AT_ONCE):
-        for w in words.distinct(units_of(texts.slice(a, b - a))[0])[0]:
-            seen.setdefault(w, len(seen))
-    release_memory()
-    return seen
+        units, place, first = units_of(texts.slice(a, b - a))
+        own, word, unit_words = words.distinct(units)
+        number = np.fromiter((seen.setdefault(w, len(seen)) for w in own), np.int32, len(own))
+        parts.append((a, b, place.astype(np.int32), first, number[word], unit_words))
+        del units, own
+        release_memory()
+    return seen, parts
 
 
 def _text(rows: pa.Table) -> pa.Array:
