@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import json
-import os
-import zipfile
 from functools import lru_cache
 from html.entities import html5
 
@@ -24,47 +21,33 @@ said says say new report reports reported according news read updated just also
 years week today monday tuesday wednesday thursday friday saturday sunday
 """.split()
 
-# Words of scikit-learn's public English list that Spark's English list does not have.
-MORE_STOP_WORDS = """
-across afterwards almost alone along already also although always among amongst amoungst amount another
-anyhow anyone anything anyway anywhere around back became become becomes becoming beforehand behind
-beside besides beyond bill bottom call cant co con couldnt cry de describe detail done due eg eight
-either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except
-fifteen fifty fill find fire first five former formerly forty found four front full get give go hasnt
-hence hereafter hereby herein hereupon however hundred ie inc indeed interest keep last latter latterly
-least less ltd made many may meanwhile might mill mine moreover mostly move much must name namely neither
-never nevertheless next nine nobody none noone nothing nowhere often one onto others otherwise part per
-perhaps please put rather re see seem seemed seeming seems serious several show side since sincere six
-sixty somehow someone something sometime sometimes somewhere still system take ten thence thereafter
-thereby therefore therein thereupon thick thin third though three throughout thru thus together top
-toward towards twelve twenty two un upon us via well whatever whence whenever whereafter whereas whereby
-wherein whereupon wherever whether whither whoever whole whose within without yet
+# The 318 English stop words of the cleaning rules.
+ENGLISH_STOP_WORDS = """
+a about above across after afterwards again against all almost alone along already also although always am
+among amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back
+be became because become becomes becoming been before beforehand behind being below beside besides between
+beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down
+due during each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything
+everywhere except few fifteen fifty fill find fire first five for former formerly forty found four from front
+full further get give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself
+him himself his how however hundred i ie if in inc indeed interest into is it its itself keep last latter
+latterly least less ltd made many may me meanwhile might mill mine more moreover most mostly move much must my
+myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere of
+off often on once one only onto or other others otherwise our ours ourselves out over own part per perhaps
+please put rather re same see seem seemed seeming seems serious several she should show side since sincere six
+sixty so some somehow someone something sometime sometimes somewhere still such system take ten than that the
+their them themselves then thence there thereafter thereby therefore therein thereupon these they thick thin
+third this those though three through throughout thru thus to together too top toward towards twelve twenty
+two un under until up upon us very via was we well were what whatever when whence whenever where whereafter
+whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will
+with within without would yet you your yours yourself yourselves
 """.split()
 
-# Words of Spark's list that the wanted list does not have (those with an apostrophe
-# go by rule).
-NOT_STOP_WORDS = "did does doing don having just ought s t theirs".split()
-
-
-def _spark_english() -> list[str]:
-    """Spark's own English stop words, from the running session or else from the MLlib jar."""
-    if SparkContext._active_spark_context is not None:
-        from pyspark.ml.feature import StopWordsRemover
-
-        return StopWordsRemover.loadDefaultStopWords("english")
-    import pyspark
-
-    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
-    jar = glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
 
 @lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
     """The 318 English words plus the news words, sorted."""
-    base = {w for w in _spark_english() if "'" not in w} - set(NOT_STOP_WORDS)
-    return tuple(sorted(base | set(MORE_STOP_WORDS) | set(NEWS_STOP_WORDS)))
+    return tuple(sorted({*ENGLISH_STOP_WORDS, *NEWS_STOP_WORDS}))
 
 
 @lru_cache(maxsize=1)
