@@ -78,24 +78,50 @@ def shape_vectors(embeddings: DataFrame) -> DataFrame:
     )
 
 
-def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` as landed feed items: one XML item per page, five feeds, in page order."""
+def feed_items(spark: SparkSession, sf_dir: str, atom: bool = False) -> DataFrame:
+    """``pages`` as landed feed items: one RSS or Atom item per page, five feeds, in page order."""
     i = F.col("page_id")
-    title = F.trim(F.regexp_extract("html", "<title>([^<&]*)", 1))
-    stamp = F.date_format(_after_epoch(i % 14, (i * 37) % 86400), "dd MMM yyyy HH:mm:ss")
-    parts = [
+    # Ampersands that start no reference are escaped, so that each title is one whole XML text.
+    title = F.regexp_replace(
+        F.trim(F.regexp_extract("html", "<title>([^<]*)", 1)), "&(?!(amp|lt|gt|quot|apos|#[0-9]+);)", "&amp;"
+    )
+    url = F.regexp_replace("url", "&", "&amp;")
+    at = _after_epoch(i % 14, (i * 37) % 86400)
+    parts = _atom_parts(i, title, url, at) if atom else _rss_parts(i, title, url, at)
+    return table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("feed"), (i % 5).cast("string")).alias("feed"), i.alias("pos"), F.concat(*parts).alias("xml")
+    )
+
+
+def _rss_parts(i: Column, title: Column, url: Column, at: Column) -> list[Column]:
+    return [
         F.lit("<item><title>"),
         title,
         F.lit("</title>"),
         F.when(i % 2 == 0, F.concat(F.lit("<description>about "), title, F.lit("</description>"))).otherwise(""),
         F.lit("<link>"),
-        F.regexp_replace("url", "&", "&amp;"),
+        url,
         F.lit("</link><pubDate>Mon, "),
-        stamp,
+        F.date_format(at, "dd MMM yyyy HH:mm:ss"),
         F.lit(" +0200</pubDate>"),
+        F.when(i % 7 == 0, "<dc:creator>Ann</dc:creator>").otherwise(""),
         F.when(i % 3 == 0, "<category>world</category><category>europe</category>").otherwise(""),
         F.lit("</item>"),
     ]
-    return table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("feed"), (i % 5).cast("string")).alias("feed"), i.alias("pos"), F.concat(*parts).alias("xml")
-    )
+
+
+def _atom_parts(i: Column, title: Column, url: Column, at: Column) -> list[Column]:
+    return [
+        F.lit("<entry><title type=\"html\">"),
+        title,
+        F.lit("</title>"),
+        F.when(i % 2 == 0, F.concat(F.lit("<summary>about "), title, F.lit("</summary>"))).otherwise(""),
+        F.lit('<link rel="self" href="https://feed.example/x"/><link href="'),
+        url,
+        F.lit('"/><updated>'),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit("+02:00</updated>"),
+        F.when(i % 7 == 0, "<author><name>Joe</name><uri>https://joe.example</uri></author>").otherwise(""),
+        F.when(i % 3 == 0, '<category term="world" label="World"/><category term="europe"/>').otherwise(""),
+        F.lit("</entry>"),
+    ]

@@ -35,6 +35,12 @@ ALIASES = {
     "author": ["authors"],
 }
 
+# Words in a CSV cell that mean a missing value.
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # Date forms beyond ISO 8601; the first list carries a zone.
 ZONED_FORMATS = ["d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm z", "d MMM yyyy HH:mm Z"]
 PLAIN_FORMATS = [
@@ -127,9 +133,17 @@ def normalize_articles(df: DataFrame, order_col: str | None = None) -> DataFrame
     return dense_index(kept, "_ord", "article_id").select("article_id", *COLUMNS)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return normalize_articles(raw)
+def missing_words_to_null(raw: DataFrame) -> DataFrame:
+    """Text columns with the usual words for a missing value made null."""
+    fields = [f.name for f in raw.schema if isinstance(f.dataType, T.StringType)]
+    quoted = {c: F.col(f"`{c}`") for c in fields}
+    return raw.withColumns({c: F.when(~x.isin(*MISSING_WORDS), x) for c, x in quoted.items()})
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``multi_line``: quoted texts may hold line ends, so a file is read by one task; without, files are split."""
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    return normalize_articles(missing_words_to_null(raw))
 
 
 def read_json(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:

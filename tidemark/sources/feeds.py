@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.session import checkpointed
@@ -24,9 +25,22 @@ DEFAULT_FEEDS = {
     "Al Jazeera": "https://www.aljazeera.com/xml/rss/all.xml",
 }
 
-ITEM_SCHEMA = (
-    "title string, summary string, description string, link string, pubDate string, published string, "
-    "updated string, author string, category array<string>, _corrupt_record string"
+# One schema for both forms: RSS holds plain text where Atom uses attributes and child elements.
+_S = T.StringType()
+
+
+def _fields(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _S) for n in names])
+
+
+ITEM_SCHEMA = T.StructType(
+    [
+        *_fields("title", "summary", "description", "content", "pubDate", "published", "updated", "dc:creator", "dc:date"),
+        T.StructField("link", T.ArrayType(_fields("_VALUE", "_href", "_rel"))),
+        T.StructField("author", T.ArrayType(_fields("_VALUE", "name"))),
+        T.StructField("category", T.ArrayType(_fields("_VALUE", "_term"))),
+        T.StructField("_corrupt_record", _S),
+    ]
 )
 
 
@@ -39,9 +53,17 @@ def feed_list(chosen: dict[str, str] | None = None, custom: str = "") -> dict[st
     return feeds or dict(DEFAULT_FEEDS)
 
 
-def _text(*names: str) -> Column:
+def _text(*fields: str | Column) -> Column:
     """First non-empty field, or empty text."""
-    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(""))
+    columns = [F.col(f"`{f}`") if isinstance(f, str) else f for f in fields]
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], F.lit(""))
+
+
+def _link() -> Column:
+    """The text of an RSS link, else the address of the first Atom link to the article itself."""
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    first = F.get(own, F.lit(0))
+    return _text(first["_VALUE"], first["_href"])
 
 
 def item_rows(items: DataFrame) -> DataFrame:
@@ -50,12 +72,12 @@ def item_rows(items: DataFrame) -> DataFrame:
         "feed",
         "pos",
         _text("title").alias("title"),
-        _text("summary", "description").alias("description"),
+        _text("summary", "description", "content").alias("description"),
         F.col("feed").alias("source"),
-        _text("link").alias("url"),
-        parse_published(_text("pubDate", "published", "updated")).alias("published"),
-        _text("author").alias("author"),
-        F.coalesce(F.try_element_at("category", F.lit(1)), F.lit("")).alias("category"),
+        _link().alias("url"),
+        parse_published(_text("pubDate", "published", "dc:date", "updated")).alias("published"),
+        _text(F.get("author", F.lit(0))["name"], F.get("author", F.lit(0))["_VALUE"], "dc:creator").alias("author"),
+        _text(F.get("category", F.lit(0))["_term"], F.get("category", F.lit(0))["_VALUE"]).alias("category"),
     )
 
 
@@ -84,8 +106,7 @@ def read_feed(spark: SparkSession, name: str, path: str, row_tag: str = "item")
 
 def parse_items(df: DataFrame, xml_col: str) -> DataFrame:
     """Item XML held in a column to parsed item fields (bad XML fills ``_corrupt_record``)."""
-    schema = f"struct<{', '.join(p.strip().replace(' ', ': ', 1) for p in ITEM_SCHEMA.split(','))}>"
-    parsed = df.withColumn("_x", F.from_xml(xml_col, schema, {"mode": "PERMISSIVE"}))
+    parsed = df.withColumn("_x", F.from_xml(xml_col, ITEM_SCHEMA, {"mode": "PERMISSIVE"}))
     return parsed.select(*[c for c in df.columns if c != xml_col], "_x.*")
 
 
