@@ -4,9 +4,11 @@ import pytest
 
 from tidemark.functions.ordering import dense_index, lookup
 from tidemark.operators.explore import exact_median
+from tidemark.operators.trends import emerging_topics
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
 from tidemark.sources import store as st
+from tidemark.streaming import news as sn
 
 
 def test_ingest_golden(spark):
@@ -72,6 +74,70 @@ def test_feed_file(spark, tmp_path):
     assert status == {"F": "5 articles", "G": "no entries (feed empty or unreachable)"}
 
 
+def test_feed_fields(spark, tmp_path):
+    rss = (
+        '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><item><title>R</title><link>https://r</link>'
+        "<dc:creator>Ann</dc:creator><category>a</category></item></channel></rss>"
+    )
+    atom = (
+        '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">A &amp; B</title>'
+        '<link rel="self" href="https://s"/><link href="https://a"/><author><name>Joe</name></author>'
+        '<category term="t1"/><category term="t2"/><updated>2026-01-02T10:00:00Z</updated></entry></feed>'
+    )
+    (tmp_path / "r.xml").write_text(rss)
+    (tmp_path / "a.xml").write_text(atom)
+    both = [fd.read_feed(spark, "R", str(tmp_path / "r.xml")), fd.read_feed(spark, "A", str(tmp_path / "a.xml"), "entry")]
+    got = {r["source"]: (r["title"], r["url"], r["author"], r["category"]) for r in fd.collect_feeds(both).collect()}
+    assert got == {"R": ("R", "https://r", "Ann", "a"), "A": ("A & B", "https://a", "Joe", "t1")}
+
+
+def test_missing_words(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("title,source,description\nT,NA,None\nN/A,s,d\nU,none,<NA>\n")
+    rows = art.read_csv(spark, str(tmp_path / "m.csv")).orderBy("article_id").collect()
+    assert [(r["title"], r["source"], r["description"]) for r in rows] == [("T", "Unknown", ""), ("U", "none", "")]
+
+
+def test_repeated_save(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "title string, description string, source string, url string, published timestamp_ntz, author string, category string"
+    rows = [(f"t{i}", "", "s", u, None, "", "") for i, u in enumerate(["u1", "", None, "u1"])]
+    batch = spark.createDataFrame(rows, schema).coalesce(1)
+    assert st.save_articles(batch.limit(1), path, name="q-0") == 1
+    for _ in range(2):
+        assert st.save_articles(batch, path, name="q-1") == 2
+        assert sorted(r["id"] for r in st.load_store(spark, path).collect()) == [1, 2, 3]
+
+
+def test_stream_restart(spark, tmp_path):
+    """New files are taken once; a batch whose commit was lost is taken again and replaces itself."""
+    landed, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))
+    schema = "headline string, link string, date string"
+    for i, url in enumerate(["u1", ""]):
+        spark.createDataFrame([(f"T{i}", url, "2026-01-02")], schema).coalesce(1).write.mode("append").parquet(landed)
+        sn.store_new(sn.landed(spark, landed, schema), store, state)
+    assert st.count_articles(spark, store) == 2
+    for f in (tmp_path / "state" / "commits").glob("*1*"):
+        f.unlink()
+    for f in (tmp_path / "state" / "commits").glob(".1*"):
+        f.unlink()
+    sn.store_new(sn.landed(spark, landed, schema), store, state)
+    assert sorted(r["id"] for r in st.load_store(spark, store).collect()) == [1, 2]
+
+
+def test_trend_cells(spark, tmp_path):
+    """The trend table of all batches equals that of the whole table, and counts alone are kept."""
+    landed, cells, trends, state = (str(tmp_path / n) for n in ("in", "cells", "trends", "state"))
+    schema = "article_id long, published timestamp_ntz, source string, cluster int"
+    rows = [(i, dt.datetime(2026, 1, 1 + i * i % 9), f"s{i % 4}", i % 3 - 1) for i in range(60)]
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landed)
+        sn.refresh_trends(sn.landed(spark, landed, schema), cells, trends, state)
+    newest = spark.read.parquet(f"{trends}/batch=1")
+    want = emerging_topics(spark.createDataFrame(rows, schema))
+    assert sorted(newest.collect()) == sorted(want.collect())
+    assert set(spark.read.parquet(cells).columns) == {"topic_id", "day", "source", "n", "batch"}
+
+
 def test_feed_list():
     assert len(fd.feed_list()) == 9
     assert fd.feed_list({"A": "u"}, " My Feed | https://x|y ") == {"A": "u", "My Feed": "https://x|y"}

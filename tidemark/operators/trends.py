@@ -82,7 +82,11 @@ def window_compare(articles: DataFrame, window_days: int = 3) -> DataFrame:
 
     The window is at most half of the history; a history of one day gives no rows.
     """
-    cells = topic_day_source(articles)
+    return compare_cells(topic_day_source(articles), window_days)
+
+
+def compare_cells(cells: DataFrame, window_days: int = 3) -> DataFrame:
+    """``window_compare`` from (topic_id, day, source, n) rows; a cell may come in several parts."""
     span = cells.agg(F.struct(F.min("day").alias("a"), F.max("day").alias("b")).alias("s")).scalar()
     tagged = cells.withColumns({"_a": span["a"], "_b": span["b"]})
     days = F.datediff("_b", "_a") + 1
@@ -145,7 +149,12 @@ def score_topics(topics: DataFrame) -> DataFrame:
 
 def emerging_topics(articles: DataFrame, names: DataFrame | None = None, window_days: int = 3) -> DataFrame:
     """The trend table, one row per topic; ``names(topic_id, topic)`` is optional."""
-    scored = score_topics(window_compare(articles, window_days))
+    return trends_from_cells(topic_day_source(articles), names, window_days)
+
+
+def trends_from_cells(cells: DataFrame, names: DataFrame | None = None, window_days: int = 3) -> DataFrame:
+    """The trend table from (topic_id, day, source, n) rows, which may come in several parts."""
+    scored = score_topics(compare_cells(cells, window_days))
     default = F.concat(F.lit("Topic "), F.col("topic_id").cast("string"))
     if names is None:
         scored = scored.withColumn("topic", default)

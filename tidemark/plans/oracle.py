@@ -318,7 +318,7 @@ parsed_v AS (
 FEED = """
 feed_v AS (
   SELECT 'feed' || CAST(page_id % 5 AS VARCHAR) AS feed, page_id AS pos,
-         trim(regexp_extract(html, '<title>([^<&]*)', 1)) AS title, url, page_id AS i,
+         replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '&amp;', '&') AS title, url, page_id AS i,
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 14 AS INTEGER)) + to_seconds((page_id * 37) % 86400) AS t
   FROM pages)"""
 
@@ -344,14 +344,27 @@ def sel(ctes: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.lstrip()}\n{body}"
 
 
-def normalize_articles() -> str:
-    ctes = ARTICLES + """,
+def parsed_feed(author: str) -> str:
+    return sel(
+        FEED,
+        "SELECT feed, pos, coalesce(title, '') AS title, CASE WHEN i % 2 = 0 THEN trim('about ' || title) ELSE '' END AS description, "
+        f"feed AS source, url, {_stamp('t - INTERVAL 2 HOUR')} AS published, "
+        f"CASE WHEN i % 7 = 0 THEN {q(author)} ELSE '' END AS author, "
+        "CASE WHEN i % 3 = 0 THEN 'world' ELSE '' END AS category FROM feed_v",
+    )
+
+
+FILLED = ARTICLES + """,
 in_v AS (
   SELECT article_id AS ord, CASE WHEN article_id % 17 = 0 THEN '  ' ELSE title END AS title, description,
          CASE WHEN article_id % 13 <= 1 OR source IS NULL OR source = '' THEN 'Unknown' ELSE source END AS source, url,
          CASE WHEN article_id % 19 <> 0 THEN published END AS published, '' AS author, '' AS category
   FROM articles_v),
-fill_v AS (SELECT * REPLACE (coalesce(published, (SELECT max(published) FROM in_v)) AS published) FROM in_v),
+fill_v AS (SELECT * REPLACE (coalesce(published, (SELECT max(published) FROM in_v)) AS published) FROM in_v)"""
+
+
+def normalize_articles() -> str:
+    ctes = FILLED + """,
 keep_v AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title, source ORDER BY ord) AS i
                  FROM fill_v WHERE trim(title) <> '') WHERE i = 1)"""
@@ -402,12 +415,8 @@ SQL = {
         FIRST_TITLES,
         "SELECT article_id AS row, row_number() OVER (ORDER BY article_id) - 1 AS article_id FROM dedup_v",
     ),
-    "parse_feed": lambda: sel(
-        FEED,
-        "SELECT feed, pos, coalesce(title, '') AS title, CASE WHEN i % 2 = 0 THEN 'about ' || title ELSE '' END AS description, "
-        f"feed AS source, url, {_stamp('t - INTERVAL 2 HOUR')} AS published, '' AS author, "
-        "CASE WHEN i % 3 = 0 THEN 'world' ELSE '' END AS category FROM feed_v",
-    ),
+    "parse_feed": lambda: parsed_feed("Ann"),
+    "parse_feed_atom": lambda: parsed_feed("Joe"),
     "feed_limit": lambda: sel(
         FEED,
         "SELECT feed, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pos) AS r FROM feed_v) WHERE r <= 20",
@@ -665,8 +674,9 @@ far_v AS (
         "JOIN core_v b ON b.article_id = dst WHERE rank <= 9",
     ),
     "stream_ingest": lambda: sel(
-        ARTICLES,
-        f"SELECT article_id, title, description, source, url, {_stamp('published')} AS published, author, category FROM articles_v",
+        FILLED,
+        f"SELECT ord AS row, title, description, source, url, {_stamp('published')} AS published, author, category "
+        "FROM fill_v WHERE trim(title) <> ''",
     ),
     "stream_dedup": lambda: sel(
         ARTICLES,

@@ -131,8 +131,12 @@ def fill_published(spark, d):
 
 def raw_articles(spark, d):
     """Articles as they come in: some titles blank, some sources missing, some dates unreadable."""
+    return shape_raw(v.articles(spark, d))
+
+
+def shape_raw(articles):
     i = F.col("article_id")
-    return v.articles(spark, d).select(
+    return articles.select(
         i.alias("row"),
         F.when(i % 17 == 0, "  ").otherwise(F.col("title")).alias(" Headline"),
         F.col("description").alias("Content"),
@@ -164,6 +168,11 @@ def parse_feed(spark, d):
     return fd.item_rows(parsed_items(spark, d)).withColumns(stamp("published"))
 
 
+def parse_feed_atom(spark, d):
+    parsed = fd.parse_items(v.feed_items(spark, d, atom=True), "xml")
+    return fd.item_rows(parsed).withColumns(stamp("published"))
+
+
 def feed_limit(spark, d):
     return fd.limit_per_feed(fd.item_rows(parsed_items(spark, d)), 20).select("feed", "pos", "url")
 
@@ -504,7 +513,7 @@ def pca_reduce(spark, d):
 
 
 def spectral_layout(spark, d):
-    return flat(rd.spectral_layout(v.vectors(spark, d), 2, rounds=20))
+    return flat(rd.spectral_layout(v.vectors(spark, d), 2))
 
 
 def knn_graph(spark, d):
@@ -605,8 +614,8 @@ def _event_stream(spark, d):
 
 def stream_ingest(spark, d):
     out, state = _paths(spark, "out", "state")
-    sn.ingest(v.shape_articles(_stream(spark, d, "documents")), out, state)
-    return spark.read.parquet(out).drop("batch", "cluster").withColumns(stamp("published"))
+    sn.ingest(shape_raw(v.shape_articles(_stream(spark, d, "documents"))), out, state)
+    return spark.read.parquet(out).drop("batch").withColumns(stamp("published"))
 
 
 def stream_dedup(spark, d):
@@ -631,8 +640,8 @@ def stream_assign(spark, d):
 
 
 def stream_trends(spark, d):
-    arts, trend, state = _paths(spark, "articles", "trends", "state")
-    sn.refresh_trends(_event_stream(spark, d), arts, trend, state)
+    cells, trend, state = _paths(spark, "cells", "trends", "state")
+    sn.refresh_trends(_event_stream(spark, d), cells, trend, state)
     newest = spark.read.parquet(trend)
     last = newest.agg(F.max("batch").alias("b")).scalar()
     return newest.filter(F.col("batch") == last).drop("batch").withColumns(r6(*TREND_ROUND))
@@ -648,7 +657,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         emerging_topics, emerging_topics_events, parse_published, fill_published, normalize_articles,
-        dedup_title_source, assign_article_id, parse_feed, feed_limit, feed_status, save_new_articles,
+        dedup_title_source, assign_article_id, parse_feed, parse_feed_atom, feed_limit, feed_status, save_new_articles,
         inserted_count, stored_count, export_articles, preview_articles, strip_html, light_clean, heavy_clean,
         simple_lemma, stopword_filter, preprocess_articles, article_search, tokens, ngrams, term_freq, doc_freq,
         vocab_topk, tfidf, normalize_vectors, class_term_counts, class_tfidf, class_term_rank, cluster_keywords,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +19,18 @@ STORE_SCHEMA = (
 
 def load_store(spark: SparkSession, path: str) -> DataFrame:
     """The whole table; an empty frame with the same schema if nothing was stored yet."""
+    return _with_batches(spark, path).drop("batch")
+
+
+def _with_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the name of the save that brought each row."""
+    schema = STORE_SCHEMA + ", batch string"
     try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], STORE_SCHEMA)
+        return spark.createDataFrame([], schema)
 
 
 def load_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -45,18 +53,23 @@ def new_articles(batch: DataFrame, stored_urls: DataFrame, order_col: str) -> Da
     return by_url.join(stored_urls.select("url"), "url", "left_anti").select(*batch.columns).unionByName(no_url)
 
 
-def save_articles(batch: DataFrame, path: str, order_col: str | None = None) -> int:
-    """Append the new rows of ``batch`` with running ids and a fetch stamp; returns their number."""
+def save_articles(batch: DataFrame, path: str, order_col: str | None = None, name: str | None = None) -> int:
+    """Append the new rows of ``batch`` with running ids and a fetch stamp; returns their number.
+
+    Each save has a folder of its own. Saving again under the same ``name`` replaces what that save had brought,
+    so a batch that is repeated after a failure adds nothing twice, rows without URL included.
+    """
     spark = batch.sparkSession
     ordered = batch.withColumn("_ord", F.col(order_col) if order_col else F.monotonically_increasing_id())
-    stored = load_store(spark, path)
+    name = name or uuid.uuid4().hex
+    stored = _with_batches(spark, path).filter(F.col("batch") != name)
     totals = stored.agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).first()
     fresh = new_articles(ordered.select("_ord", *COLUMNS), stored, "_ord")
     first_id = 1 if totals["last"] is None else totals["last"] + 1
     numbered = dense_index(fresh, "_ord", "id")
     numbered.select(
         (F.col("id") + first_id).alias("id"), *COLUMNS, F.current_timestamp().alias("fetched_at")
-    ).write.mode("append").parquet(path)
+    ).write.mode("overwrite").parquet(f"{path}/batch={name}")
     return count_articles(spark, path) - totals["n"]
 
 

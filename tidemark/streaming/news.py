@@ -5,6 +5,7 @@ State and progress live below the shared folder; every job can be restarted on t
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.clusters import assign_new_articles
-from tidemark.operators.trends import NOISE, emerging_topics
-from tidemark.sources.articles import default_values, drop_blank_titles, parse_published
+from tidemark.operators.trends import NOISE, topic_day_source, trends_from_cells
+from tidemark.sources.articles import (
+    canonical_columns,
+    default_values,
+    drop_blank_titles,
+    fill_published,
+    parse_published,
+)
 from tidemark.sources.store import save_articles
 
 Sink = Callable[[DataFrame, int], None]
@@ -25,9 +32,11 @@ def landed(spark: SparkSession, path: str, schema, name_filter: str = "*", fmt:
 
 
 def normalize_stream(raw: DataFrame) -> DataFrame:
-    """Row-wise part of the article rules: dates, defaults, blank titles; dates that do not parse stay null."""
-    out = raw if dict(raw.dtypes)["published"] == "timestamp_ntz" else raw.withColumn("published", parse_published("published"))
-    return drop_blank_titles(default_values(out))
+    """Row-wise part of the article rules: column names, dates, defaults; dates that do not parse stay null."""
+    out = canonical_columns(raw)
+    if dict(out.dtypes)["published"] != "timestamp_ntz":
+        out = out.withColumn("published", parse_published(F.col("published").cast("string")))
+    return default_values(out)
 
 
 def run_once(df: DataFrame, sink: Sink, state: str, mode: str = "append") -> None:
@@ -46,15 +55,35 @@ def append_to(path: str) -> Sink:
 
 
 def ingest(raw: DataFrame, path: str, state: str) -> None:
-    """Normalised articles of all landed files, appended to ``path``."""
-    run_once(normalize_stream(raw), append_to(path), state)
+    """Normalised articles of all landed files, appended to ``path``.
+
+    A date that is missing becomes the newest date of its batch; rows without title are left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            append_to(path)(drop_blank_titles(fill_published(batch)), batch_id)
+        finally:
+            batch.unpersist()
+
+    run_once(normalize_stream(raw), write, state)
+
+
+def query_id(spark: SparkSession, state: str) -> str:
+    """The id that a streaming query keeps over restarts, from the metadata of its state folder."""
+    return json.loads(spark.read.text(f"{state}/metadata").first()[0])["id"]
 
 
 def store_new(raw: DataFrame, store: str, state: str, order_col: str | None = None) -> None:
-    """Append articles with an unseen URL to the store: exact and without state that grows in memory."""
+    """Append articles with an unseen URL to the store: exact and without state that grows in memory.
+
+    A batch is saved under the query's own id and the number of the batch, so a repeated batch replaces itself.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        save_articles(batch, store, order_col)
+        name = f"{query_id(batch.sparkSession, state)}-{batch_id}"
+        save_articles(drop_blank_titles(batch), store, order_col, name)
 
     run_once(normalize_stream(raw), save, state)
 
@@ -82,16 +111,19 @@ def assign_stream(vectors: DataFrame, centroids: DataFrame, threshold: float = 0
     return assign_new_articles(vectors, centroids, threshold)
 
 
-def refresh_trends(articles: DataFrame, path: str, trends: str, state: str, window_days: int = 3) -> None:
-    """Append each batch to ``path`` and recompute the trend table over everything so far.
+def refresh_trends(articles: DataFrame, cells: str, trends: str, state: str, window_days: int = 3) -> None:
+    """Add each batch's counts per topic, day and source to ``cells`` and make the trend table from all counts.
 
-    The table of a batch goes to its own folder below ``trends``; the newest one is the current table.
+    Articles are read once, in their own batch; a refresh reads counts only. The table of a batch goes to its own
+    folder below ``trends``; the newest one is the current table.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        append_to(path)(batch, batch_id)
-        everything = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        emerging_topics(everything, window_days=window_days).write.mode("overwrite").parquet(f"{trends}/batch={batch_id}")
+        counts = topic_day_source(batch)
+        append_to(cells)(counts, batch_id)
+        everything = batch.sparkSession.read.schema(counts.schema).parquet(cells)
+        table = trends_from_cells(everything, window_days=window_days)
+        table.write.mode("overwrite").parquet(f"{trends}/batch={batch_id}")
 
     run_once(articles, refresh, state)
 
