@@ -50,14 +50,30 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All squared distances; few dimensions are summed one by one, which is exact and symmetric."""
+    """All squared distances; few dimensions are summed one by one, which is exact and symmetric.
+
+    Many go through one product; pairs whose distance is small against their lengths, where that product
+    cancels, are summed from their differences.
+    """
     if a.shape[1] <= 32:
         out = np.zeros((len(a), len(b)))
         for k in range(a.shape[1]):
             diff = a[:, k, None] - b[None, :, k]
             out += diff * diff
         return out
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
+    lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    out = lengths - 2.0 * (a @ b.T)
+    left, right = np.nonzero(out <= 1e-4 * lengths)
+    for at in range(0, len(left), 1 << 14):
+        i, j = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
+        out[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return out
+
+
+def rounded(d: np.ndarray) -> np.ndarray:
+    """Distances to 36 binary digits, relative to each, so that ties do not hang on the order of a sum."""
+    mantissa, exponent = np.frexp(d)
+    return np.ldexp(np.round(mantissa * 2.0**36) / 2.0**36, exponent)
 
 
 def build_blocks(
