@@ -171,6 +171,30 @@ vocab_v AS (
   ORDER BY total DESC, term LIMIT 20000)"""
 
 
+def letter_counts(text: str) -> str:
+    """List of how often each small letter occurs, of length 1 unless there is none."""
+    counts = f"list_transform(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' '), lambda c: length({text}) - length(replace({text}, c, '')))"
+    size = f"greatest(sqrt(list_sum(list_transform({counts}, lambda x: x * x))), 1e-12)"
+    return f"list_transform({counts}, lambda x: x / {size})"
+
+
+def semantic_keywords() -> str:
+    ctes = cleaned() + f""",
+head_v AS (
+  SELECT cluster, string_agg(tfidf_text, ' ' ORDER BY article_id) AS doc FROM (
+    SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY article_id) AS i FROM tok_v WHERE cluster <> -1)
+  WHERE i <= 60 GROUP BY cluster),
+center_v AS (
+  SELECT cluster, {letter_counts("doc")} AS center, regexp_extract_all(doc, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS toks FROM head_v),
+terms_v AS (
+  SELECT DISTINCT cluster, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS term
+  FROM center_v),
+scored_v AS (
+  SELECT cluster, term, round(list_inner_product({letter_counts("term")}, center), 9) AS score FROM terms_v JOIN center_v USING (cluster)),
+best_v AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM scored_v)"""
+    return sel(ctes, "SELECT cluster AS topic_id, rank, term, score FROM best_v WHERE rank <= 8")
+
+
 def classes() -> str:
     return cleaned() + """,
 ends_v AS (
@@ -673,6 +697,11 @@ far_v AS (
         "SELECT src, dst, round(greatest(d, a.core, b.core), 6) AS weight FROM knn_v JOIN core_v a ON a.article_id = src "
         "JOIN core_v b ON b.article_id = dst WHERE rank <= 9",
     ),
+    "batch_embed": lambda: sel(
+        cleaned() + f", unit_t AS (SELECT article_id, {letter_counts('embedding_text')} AS u FROM tok_v)",
+        "SELECT article_id, CAST(unnest(range(26)) AS INTEGER) AS pos, round(unnest(u), 6) AS value FROM unit_t",
+    ),
+    "semantic_keywords": semantic_keywords,
     "stream_ingest": lambda: sel(
         FILLED,
         f"SELECT ord AS row, title, description, source, url, {_stamp('published')} AS published, author, category "
