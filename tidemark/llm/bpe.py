@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import dump, load, packed, release_memory, slices, unpacked
 
 _BLOCK = 32 << 20
+_KNOWN = 150_000  # words whose ids a worker remembers
 _AT_ONCE = 6 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,6 +37,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> str:
     return spec
 
 
+def strings(values: pa.Array) -> list[str]:
+    """``values.to_pylist()`` without a scalar object for each value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def units_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units of a block of texts, the unit of each place, and the first place of each text (and the end).
 
@@ -44,7 +50,7 @@ def units_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """
     split = pa.compute.split_pattern(texts.fill_null(""), " ")
     coded = split.values.dictionary_encode()
-    pieces = coded.dictionary.to_pylist()
+    pieces = strings(coded.dictionary)
     place = np.asarray(coded.indices).astype(np.int64)
     first = np.asarray(split.offsets).astype(np.int64)
     if not len(texts):
@@ -87,6 +93,7 @@ class Words:
         self.words = regex.compile(_SPLIT).findall
         self.plain = not any(regex.fullmatch(r"[\p{L}.,;:!?]+", a) for a in self.added)
         self.known: dict[str, list[int]] = {}
+        self.met = bytearray(1 << 22)
         self.symbol = {b: c for c, b in byte_symbols().items()}
 
     def split(self, unit: str) -> list[str]:
@@ -118,7 +125,7 @@ class Words:
         word[first[kind == 2]] = number[at[0] : at[1]]
         word[first[kind == 2] + 1] = number[at[1] : at[2]]
         word[np.repeat(kind == 0, count)] = number[at[2] :]
-        return coded.dictionary.to_pylist(), word, first + count
+        return strings(coded.dictionary), word, first + count
 
     def encode(self, word: str) -> list[int]:
         got = self.known.get(word)
@@ -126,8 +133,11 @@ class Words:
             if word in self.added:
                 return [self.added[word]]
             got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))]
-            if len(self.known) < 200_000:  # the words met first, the common ones among them
-                self.known[word] = got
+            if len(self.known) < _KNOWN:  # kept when met again, so that rare words take no place
+                at = hash(word) % len(self.met)
+                if self.met[at]:
+                    self.known[word] = got
+                self.met[at] = 1
         return got
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
