@@ -105,9 +105,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines end at a line feed. A document overlaps an earlier one (smaller id) if that is the first to hold one of its
     lines; so a line names one partner however many documents share it, and every line that is not new is in
-    the alignment with a document that holds it. Rare lines (by the number of documents) are taken first:
-    a line names a partner of its own only if no rarer line of the document has named a document that holds it
-    first as well. Each pair is aligned by patience diff over all lines of both, and its common blocks of
+    the alignment with a document that holds it. Lines of one owner name it once. A common line is treated like a
+    rare one, as it costs no more: one partner for each document. Each pair is aligned by patience diff over all
+    lines of both, and its common blocks of
     ``min_words`` words or more are deleted from the later text, with their line feeds. Blocks are judged on the input.
 
     A null text stays null and an empty one empty (one line each); a text whose lines all go is empty. Rows without
@@ -120,9 +120,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sequences = checkpointed(hashed)
     # the first owner of each line that several documents hold; partial counts go first, so a hot line is a few rows
     occurs = sequences.select("id", "key", F.explode(F.array_distinct("hashes")).alias("line"))
-    first = occurs.groupBy("line").agg(F.min_by(F.struct("id", "key"), "id").alias("owner"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
-    shared = checkpointed(first.filter("low < high").select("line", "owner", "n"))
-    pairs = occurs.join(shared, "line").filter("owner.id < id").groupBy("id", "key", "owner").agg(F.min("n").alias("rarest"))
+    first = occurs.groupBy("line").agg(F.min_by(F.struct("id", "key"), "id").alias("owner"), F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = checkpointed(first.filter("low < high").select("line", "owner"))
+    pairs = occurs.join(shared, "line").filter("owner.id < id").select("id", "key", "owner").distinct()
     pairs = checkpointed(pairs.select("id", "key", F.col("owner.id").alias("early_id"), F.col("owner.key").alias("early_key")))
     early = sequences.select(F.col("id").alias("early_id"), F.col("key").alias("early_key"), F.col("hashes").alias("early")).dropDuplicates(["early_id", "early_key"])
     late = sequences.dropDuplicates(["id", "key"])
