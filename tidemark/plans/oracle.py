@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from tidemark.functions import text as tx
+from tidemark.functions.text import default_stop_words
 
-# --- text cleaning as SQL expressions --------------------------------------------------------------
+# --- text cleaning as SQL expressions, with patterns of its own --------------------------------------
+
+_BLANK_SET = r"\t-\r\x1c-\x1f\x{85}\p{Z}"
+# one pass from left to right: comments, elements without visible text, declarations, tags
+_MARKUP = (
+    r"(?is)<!--.*?-->"
+    + "".join(rf"|<{e}(?:\s[^>]*)?>.*?(?:</{e}\s*>|\z)" for e in ("script", "style", "template"))
+    + r"""|<[!?][^>]*>|</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+)
+# Words of topic names in capitals.
+_CAPITALS = "ai gpu rbi gdp ipl un eu us uk".split()
 
 
 def q(s: str) -> str:
@@ -23,9 +33,7 @@ def _unescape(e: str) -> str:
 
 
 def _strip(plain: str) -> str:
-    bare = plain
-    for pattern in [*tx.HIDDEN, tx.TAG]:
-        bare = _replace(bare, pattern, "chr(1)")
+    bare = _replace(plain, _MARKUP, "chr(1)")
     nodes = f"list_filter(string_split({bare}, chr(1)), lambda n: n <> '')"
     blank = r"regexp_full_match(n, '[ \n\t\f\r]+')"
     tidy = (
@@ -37,8 +45,8 @@ def _strip(plain: str) -> str:
 
 
 def _light(e: str) -> str:
-    no_url = _replace(e, rf"https?://{tx.NOT_WS}+|www\.{tx.NOT_WS}+", "' '")
-    return f"trim({_replace(no_url, tx.WS + '+', q(' '))})"
+    no_url = _replace(e, rf"(?:https?://|www\.)[^{_BLANK_SET}]+", "' '")
+    return f"trim({_replace(no_url, f'[{_BLANK_SET}]+', q(' '))})"
 
 
 def _lemma(t: str) -> str:
@@ -50,7 +58,7 @@ def _lemma(t: str) -> str:
 
 
 def _content(t: str) -> str:
-    words = ", ".join(q(w) for w in tx.default_stop_words())
+    words = ", ".join(q(w) for w in default_stop_words())
     return f"length({t}) > 2 AND NOT list_contains([{words}], {t}) AND NOT regexp_full_match({t}, '[0-9]+')"
 
 
@@ -144,7 +152,7 @@ core_v AS (SELECT src AS article_id, max(d) AS core FROM knn_v WHERE rank <= 9 G
 
 
 def cleaned() -> str:
-    raw = _replace("coalesce(title, '') || '. ' || coalesce(description, '')", f"^{tx.WS}+|{tx.WS}+$", "''")
+    raw = _replace("coalesce(title, '') || '. ' || coalesce(description, '')", f"^[{_BLANK_SET}]+|[{_BLANK_SET}]+$", "''")
     return (
         ARTICLES
         + f""",
@@ -249,7 +257,7 @@ coh_v AS (
 
 
 def names() -> str:
-    acronyms = ", ".join(q(a) for a in tx_acronyms())
+    acronyms = ", ".join(q(a) for a in _CAPITALS)
     word = f"CASE WHEN list_contains([{acronyms}], w) THEN upper(w) ELSE upper(left(w, 1)) || lower(substr(w, 2)) END"
     phrase = f"array_to_string(list_transform(string_split(k, ' '), lambda w: {word}), ' ')"
     return f""",
@@ -264,12 +272,6 @@ uname_v AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY topic_id) AS i FROM name_v))"""
 
 
-def tx_acronyms() -> list[str]:
-    from tidemark.operators.topics import ACRONYMS
-
-    return ACRONYMS
-
-
 COUNTS = """,
 cnt_v AS (
   SELECT CAST(published AS DATE) AS day, cluster AS topic_id, count(*) AS n
