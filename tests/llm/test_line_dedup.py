@@ -2,7 +2,9 @@
 
 import random
 
-from tidemark.llm.line_dedup import align, dedup_lines
+import numpy as np
+
+from tidemark.llm.line_dedup import _cut, align, dedup_lines
 
 
 def cut(spark, rows, **kw):
@@ -50,3 +52,26 @@ def test_alignment_is_common_and_increasing():
 
 def test_empty_table(spark):
     assert cut(spark, []) == []
+
+
+def test_repeated_and_swapped_passages_go(spark):
+    p, q = ([f"{name} number {i} of a shared passage that has twelve words each {name}{i}" for i in range(6)] for name in ("first", "second"))
+    twice = "\n".join(["head", *p, "between", *p, "tail"])
+    rows = [(1, twice, ""), (2, "\n".join(["a", *p, "b"]), ""), (3, "\n".join(["c", *p, "d"]), ""), (11, "\n".join(["e", *q, "f"]), ""), (12, "\n".join(["g", *q, "h", *q, "i"]), "")]
+    got = {g[0]: (g[1], g[3]) for g in cut(spark, rows)}
+    assert got == {1: (twice, 0), 2: ("a\nb", 6), 3: ("c\nd", 6), 11: (rows[3][1], 0), 12: ("g\nh\ni", 12)}
+    swapped = [(1, "\n".join([*p, "x", *q]), ""), (2, "\n".join([*q, "y", *p]), "")]
+    assert {g[0]: (g[1], g[3]) for g in cut(spark, swapped)} == {1: (swapped[0][1], 0), 2: ("y", 12)}
+
+
+def test_no_common_block_is_left():
+    rng, names = random.Random(2), np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 8)
+    for _ in range(2000):
+        a, b = ([rng.randrange(8) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        words = [0, 1, 3, 3, 4, 5, 8, 9]
+        gone = set(_cut(names[a], names[b], np.array([words[x] for x in b]), 8).tolist())
+        blocks = [(l, l + n) for l in range(len(b)) for n in range(1, len(b) - l + 1) if sum(words[x] for x in b[l : l + n]) >= 8 and any(a[e : e + n] == b[l : l + n] for e in range(len(a)))]
+        assert gone <= {i for l, r in blocks for i in range(l, r)}
+        for l, r in blocks:
+            if r - l > 1 or a.count(b[l]) + b.count(b[l]) > 2:
+                assert gone >= set(range(l, r))

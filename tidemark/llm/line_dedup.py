@@ -1,4 +1,4 @@
-"""Removal of lines that an earlier document holds in the same order, by patience alignment of overlapping pairs."""
+"""Removal of lines that an earlier document holds, by patience alignment of overlapping pairs and their common runs."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 
 MIN_WORDS = 8
+_FACTOR = 0x9E3779B97F4A7C17
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def lines_of(text):
@@ -87,17 +89,54 @@ def _once(lines: list[int], a: int, b: int) -> dict[int, int]:
     return {line: i for line, i in seen.items() if i >= 0}
 
 
-def _cut(early: list[int], late: list[int], words: list[int], min_words: int) -> np.ndarray:
-    """Places in ``late`` of the common blocks with ``min_words`` words or more."""
+def _runs(lines: np.ndarray, words: np.ndarray, min_words: int, min_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shortest runs of at least ``min_lines`` lines and ``min_words`` words: (first place, end, hash).
+
+    There is one from each line down and one up to each line, as far as the text goes. Every line of a block of that
+    many lines and words is in a run within the block. Where a run ends depends on its own lines alone, so a
+    list that holds a run's lines side by side has the same run. The hash is a polynomial in the lines' hashes.
+    """
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(n + 1)
+    end = np.maximum(np.searchsorted(total, total + min_words, "left"), at + min_lines)
+    start = np.minimum(np.searchsorted(total, total - min_words, "right") - 1, at - min_lines)
+    first, last = np.concatenate([at[end <= n], start[start >= 0]]), np.concatenate([end[end <= n], at[start >= 0]])
+    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, f, np.uint64)]), dtype=np.uint64) for f in (_FACTOR, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * power[:n], dtype=np.uint64)])
+    return first, last, ((sums[last] - sums[first]) * back[first]).view(np.int64)
+
+
+def _left_over(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Places in ``late`` of common blocks whatever their order: all of two lines or more, single lines if repeated.
+
+    A line that either list holds twice has no place of its own in the order; a single line that both hold once has
+    one, and only the alignment judges it.
+    """
+    names, at, times = np.unique(late, return_index=True, return_counts=True)
+    place = np.searchsorted(names, early).clip(max=len(names) - 1)
+    known = names[place] == early
+    # a line that only the early list holds is in no common run, whatever its words
+    _, _, held = _runs(early, np.where(known, words[at[place]], 0), min_words, 2)
+    first, last, runs = _runs(late, words, min_words, 2)
+    shared = np.isin(runs, held)
+    edge = np.bincount(first[shared], minlength=len(late) + 1) - np.bincount(last[shared], minlength=len(late) + 1)
+    early_times = np.bincount(place[known], minlength=len(names))
+    repeated = ((early_times > 0) & (early_times + times > 2))[np.searchsorted(names, late)]
+    return np.flatnonzero((np.cumsum(edge)[:-1] > 0) | (repeated & (words >= min_words)))
+
+
+def _cut(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Places in ``late`` of the common blocks with ``min_words`` words or more: the aligned ones and those left over."""
     total = np.concatenate([[0], np.cumsum(words)])
     blocks: list[list[int]] = []
-    for e, l, n in sorted(align(early, late)):  # blocks that touch in both lists are one
+    for e, l, n in sorted(align(early.tolist(), late.tolist())):  # blocks that touch in both lists are one
         if blocks and blocks[-1][0] + blocks[-1][2] == e and blocks[-1][1] + blocks[-1][2] == l:
             blocks[-1][2] += n
         else:
             blocks.append([e, l, n])
     kept = [np.arange(l, l + n) for _, l, n in blocks if total[l + n] - total[l] >= min_words]
-    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([*kept, _left_over(early, late, words, min_words)])).astype(np.int64)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,6 +148,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rare one, as it costs no more: one partner for each document. Each pair is aligned by patience diff over all
     lines of both, and its common blocks of
     ``min_words`` words or more are deleted from the later text, with their line feeds. Blocks are judged on the input.
+    So are the blocks that the alignment leaves because they are repeated in either text or stand in another order:
+    all common runs of two lines or more, every time the later text holds them, and single lines that either text
+    repeats. A single line that both hold once and that is out of order with the alignment stays.
 
     A null text stays null and an empty one empty (one line each); a text whose lines all go is empty. Rows without
     id stay whole and remove nothing. Rows that repeat an id are one document if their texts are equal and do not
@@ -132,7 +174,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             ids, keys, gone = [], [], []
             for i, k, e, l, w in zip(*(batch.column(c) for c in range(5))):
-                cut = _cut(e.values.to_numpy().tolist(), l.values.to_numpy().tolist(), w.values.to_numpy().tolist(), min_words)
+                cut = _cut(e.values.to_numpy(), l.values.to_numpy(), w.values.to_numpy(), min_words)
                 if len(cut):
                     ids.append(i.as_py())
                     keys.append(k.as_py())
