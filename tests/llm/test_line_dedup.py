@@ -75,3 +75,28 @@ def test_no_common_block_is_left():
         for l, r in blocks:
             if r - l > 1 or a.count(b[l]) + b.count(b[l]) > 2:
                 assert gone >= set(range(l, r))
+
+
+def test_block_of_lines_with_different_first_owners_goes(spark):
+    lines = [f"only five words here {i}" for i in range(12)]
+    block = "\n".join(lines)
+    rows = [(i, f"{line}\nend {i}", "") for i, line in enumerate(lines)] + [(i, f"{block}\nlast {i}", "") for i in (12, 13)] + [(14, block, ""), (15, block, "")]
+    got = {g[0]: (g[1], g[3]) for g in cut(spark, rows)}
+    assert got == {i: (text, 0) for i, text, _ in rows[:13]} | {13: ("last 13", 12), 14: ("", 12), 15: ("", 12)}
+
+
+def test_every_block_that_an_earlier_document_holds_goes(spark):
+    rng, words = random.Random(3), [0, 1, 3, 4, 5, 5, 8, 9]
+    vocabulary = [" ".join(f"w{i}x{k}" for k in range(n)) or " " * i for i, n in enumerate([*words, *words])]
+    texts = [[rng.randrange(16) for _ in range(rng.randrange(1, 12))] for _ in range(150)]
+    got = {g[0]: g for g in cut(spark, [(i, "\n".join(vocabulary[x] for x in t), "") for i, t in enumerate(texts)])}
+    for i, t in enumerate(texts):
+        must, may = set(), set()
+        for l in range(len(t)):
+            for r in range(l + 1, len(t) + 1):
+                if sum(words[x % 8] for x in t[l:r]) >= 8 and any(u[e : e + r - l] == t[l:r] for u in texts[:i] for e in range(len(u))):
+                    may |= set(range(l, r))
+                    must |= set(range(l, r)) if r - l > 1 else set()
+        assert len(must) <= got[i][3] <= len(may)
+        if must == may:
+            assert got[i][1] == "\n".join(vocabulary[x] for k, x in enumerate(t) if k not in may)

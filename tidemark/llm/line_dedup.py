@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 
 MIN_WORDS = 8
+_ROWS = 256  # documents whose runs are held at once
 _FACTOR = 0x9E3779B97F4A7C17
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -107,6 +108,11 @@ def _runs(lines: np.ndarray, words: np.ndarray, min_words: int, min_lines: int)
     return first, last, ((sums[last] - sums[first]) * back[first]).view(np.int64)
 
 
+def _names(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Distinct hashes of the shortest runs that a common block can be told by: of any lines, and of two or more."""
+    return np.unique(np.concatenate([_runs(lines, words, min_words, n)[2] for n in (1, 2)]))
+
+
 def _left_over(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
     """Places in ``late`` of common blocks whatever their order: all of two lines or more, single lines if repeated.
 
@@ -142,10 +148,11 @@ def _cut(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_words: int)
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with aligned common blocks of lines deleted from the later document, and n_lines, n_removed (long).
 
-    Lines end at a line feed. A document overlaps an earlier one (smaller id) if that is the first to hold one of its
-    lines; so a line names one partner however many documents share it, and every line that is not new is in
-    the alignment with a document that holds it. Lines of one owner name it once. A common line is treated like a
-    rare one, as it costs no more: one partner for each document. Each pair is aligned by patience diff over all
+    Lines end at a line feed. Each line starts and ends a shortest run of lines with ``min_words`` words, and one of
+    at least two lines. A document overlaps an earlier one (smaller id) if that is the first to hold one of its runs
+    side by side; so a run names one partner however many documents share it, and every common block of ``min_words``
+    words or more is covered by runs, each compared with a document that holds it whole. Runs of one owner name it
+    once. A common run is treated like a rare one, as it costs no more: one partner for each document. Each pair is aligned by patience diff over all
     lines of both, and its common blocks of
     ``min_words`` words or more are deleted from the later text, with their line feeds. Blocks are judged on the input.
     So are the blocks that the alignment leaves because they are repeated in either text or stand in another order:
@@ -160,11 +167,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.filter(ident.isNotNull() & text.isNotNull()).select(ident.alias("id"), F.xxhash64(text).alias("key"), lines_of(text).alias("lines"))
     hashed = base.select("id", "key", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", _words).alias("words"))
     sequences = checkpointed(hashed)
-    # the first owner of each line that several documents hold; partial counts go first, so a hot line is a few rows
-    occurs = sequences.select("id", "key", F.explode(F.array_distinct("hashes")).alias("line"))
-    first = occurs.groupBy("line").agg(F.min_by(F.struct("id", "key"), "id").alias("owner"), F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = checkpointed(first.filter("low < high").select("line", "owner"))
-    pairs = occurs.join(shared, "line").filter("owner.id < id").select("id", "key", "owner").distinct()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                own = [_names(l.values.to_numpy(), w.values.to_numpy(), min_words) for l, w in zip(part.column(2), part.column(3))]
+                sizes = [len(x) for x in own]
+                ids, keys = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), pa.array(np.concatenate(own))], names=["id", "key", "run"])
+
+    # the first owner of each run that several documents hold; partial counts go first, so a hot run is a few rows
+    occurs = sequences.select("id", "key", "hashes", "words").mapInArrow(name, "id long, key long, run long")
+    first = occurs.groupBy("run").agg(F.min(F.struct("id", "key")).alias("owner"), F.max("id").alias("high"))
+    shared = checkpointed(first.filter("owner.id < high").select("run", "owner"))
+    pairs = occurs.join(shared, "run").filter("owner.id < id").select("id", "key", "owner").distinct()
     pairs = checkpointed(pairs.select("id", "key", F.col("owner.id").alias("early_id"), F.col("owner.key").alias("early_key")))
     early = sequences.select(F.col("id").alias("early_id"), F.col("key").alias("early_key"), F.col("hashes").alias("early")).dropDuplicates(["early_id", "early_key"])
     late = sequences.dropDuplicates(["id", "key"])
