@@ -33,16 +33,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: that with the least id, once if its row is repeated.
 
-    Rows without id stay only if no document with an id is in their component. Documents without words share
-    the fingerprint zero and so are copies of each other.
+    Rows that share an id but hold different texts are judged each by the component of its own text. Rows without id
+    stay only if no document with an id is in their component. Documents without words share the fingerprint zero
+    and so are copies of each other. Shingles and radius are those of op5.
     """
-    # the first row of each id, by all columns, stands for it; partial minima go first
+    # the first row of each id and fingerprint, by all columns, stands for it; partial minima go first
     rest = [c for c in COLUMNS if c != "doc_id"]
     loose = docs.filter("doc_id is null").select(*COLUMNS)
     groups = near_duplicates(docs.select("doc_id", "text"))
-    kept_ids = checkpointed(groups.filter("doc_id = component").select("doc_id").distinct())
-    known = docs.select(*COLUMNS).join(kept_ids, "doc_id", "left_semi")
-    one = known.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
+    first = groups.filter("doc_id = component").groupBy("root").agg(F.min(F.struct("doc_id", "print")).alias("r"))
+    kept = checkpointed(first.select("r.doc_id", "r.print"))
+    known = docs.select(*COLUMNS).join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = fingerprints(known, keep=tuple(rest)).withColumnRenamed("id", "doc_id").join(kept, ["doc_id", "print"], "left_semi")
+    one = known.groupBy("doc_id", "print").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*")
     if loose.isEmpty():
         return one.select(*COLUMNS)
     alone = checkpointed(groups.filter("component is null").select("print").distinct())

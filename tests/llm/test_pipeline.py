@@ -38,5 +38,13 @@ def test_stages_with_odd_rows(spark):
         assert stage(spark, df.limit(0), SF).collect() == []
 
 
+def test_different_texts_under_one_id_are_judged_by_their_own_component(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(40)) for name in ("one", "two", "three"))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (2, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_copies(spark, cp.checkpointed(df), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b), (2, c)]
+
+
 def test_oracle_is_none_and_stages_are_named():
     assert cp.ORACLE_SQL is None and len(cp.STAGES) == 5 and os.path.exists(cp.__file__)

@@ -43,16 +43,17 @@ def fingerprint(text: str | None) -> int:
     return int(sum(1 << bit for bit in np.flatnonzero(2 * counts > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, print): SimHash of each whole text as a long (the same 64 bits); null and wordless texts: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, print, columns ``keep``): SimHash of each whole text as a long (the same 64 bits); null and wordless texts: 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], names=["id", "print", *keep])
             release_memory()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, print long")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"), *keep)
+    return given.mapInArrow(work, ", ".join(["id long, print long", *(f"{c} {given.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def _ordered(group: pa.Table) -> pa.Table:
@@ -130,12 +131,13 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per input row: ``id_col``, print (fingerprint as a long), component (least id reachable through links).
+    """One row per input row: ``id_col``, print (fingerprint as a long), component (least id reachable through links), root.
 
     Words are runs of non-blank characters, A-Z in lower case; shingles are ``SHINGLE`` words, repeats included; a
     text with fewer words is one shingle, one without words (or null) has fingerprint 0 and is linked like any
     other. Documents link if their fingerprints differ in ``radius`` bits or fewer. Repeated rows are kept.
-    A null id is never the least; a component of null ids only has component null.
+    A null id is never the least; a component of null ids only has component null. Components that share their least
+    id, as its rows hold different texts, differ in root, a fingerprint of each.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
     least = checkpointed(prints.groupBy("print").agg(F.min("id").alias("least")))
@@ -143,5 +145,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = checkpointed(components(least.select(F.col("print").alias("id")), links(least, radius)))
     named = member.join(least.withColumnRenamed("print", "id"), "id").select(F.col("id").alias("print"), "component", "least")
     names = named.groupBy("component").agg(F.min("least").alias("name"))
-    table = checkpointed(named.join(names, "component").select("print", F.col("name").alias("component")))
-    return prints.join(table, "print").select(F.col("id").alias(id_col), "print", "component")
+    table = checkpointed(named.join(names, "component").select("print", F.col("name").alias("component"), F.col("component").alias("root")))
+    return prints.join(table, "print").select(F.col("id").alias(id_col), "print", "component", "root")
