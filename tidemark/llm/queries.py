@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import encode_decode, read_vocabulary
 from tidemark.llm.common import table
 from tidemark.llm.chat import format_chats, read_back, turn_events
+from tidemark.llm.conversation_repair import report
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.fingerprints import next_likeness
 from tidemark.llm.line_dedup import dedup_lines
@@ -96,6 +97,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The damage of the query: by crc32 of conv_id:turn, rows are dropped, emptied, cut, repeated or renamed."""
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    k = F.crc32(name.cast("binary")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.array_repeat(F.lit(0), F.when(k == 0, 0).when(k == 3, 2).otherwise(1))
+    return turns.select("conv_id", "turn", F.when(k == 4, "user").otherwise(role).alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return report(damaged(turns), turns)
+
+
 OP8_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -131,9 +147,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE
+bits AS (SELECT i AS byte, i::UBIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL
+    SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+crc AS (SELECT name, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(name) + 1), lambda i: ord(name[i])::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) % 20 AS k FROM (SELECT DISTINCT name FROM src), tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM src JOIN crc USING (name)),
+placed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+marked AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+ins(p, st, edits, added, spent) AS (VALUES (0, 0, '', []::VARCHAR[], 0), (0, 2, 'I', ['user:'], 2), (0, 3, 'II', ['user:', 'assistant:'], 4),
+    (1, 1, '', [], 0), (1, 2, 'I', ['user:'], 2), (1, 3, 'II', ['user:', 'assistant:'], 4), (2, 2, '', [], 0), (2, 3, 'I', ['assistant:'], 2),
+    (2, 2, 'II', ['assistant:', 'user:'], 4), (3, 3, '', [], 0), (3, 2, 'I', ['user:'], 2), (3, 3, 'II', ['user:', 'assistant:'], 4)),
+ways AS (SELECT p, 'D' AS edit, edits, added, spent + 3 AS spent, st AS q, NULL AS must FROM ins
+    UNION ALL SELECT p, 'R', edits, added, spent + 2, CASE st WHEN 2 THEN 3 ELSE 2 END, NULL FROM ins
+    UNION ALL SELECT p, 'K', edits, added, spent, CASE st WHEN 2 THEN 3 ELSE 2 END, CASE st WHEN 2 THEN 'a' ELSE 'u' END FROM ins
+    UNION ALL SELECT p, 'K', edits, added, spent, 1, 's' FROM ins WHERE st = 0),
+dp AS (SELECT conv, CAST(0 AS BIGINT) AS i, 0 AS st, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': []::VARCHAR[]} AS best FROM (SELECT DISTINCT conv FROM marked)
+    UNION ALL
+    SELECT d.conv, m.i, w.q, min({'cost': d.best.cost + w.spent + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 1 ELSE 0 END, 'audit': d.best.audit || w.edits || w.edit,
+        'lines': d.best.lines || w.added || CASE edit WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE q WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] ELSE []::VARCHAR[] END})
+    FROM dp d JOIN marked m ON m.conv = d.conv AND m.i = d.i + 1 JOIN ways w ON w.p = d.st AND (must IS NULL OR must = m.c) AND (fault NOT IN ('blank', 'duplicate') OR edit = 'D')
+    GROUP BY d.conv, m.i, w.q),
+ends AS (SELECT conv, min({'cost': best.cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': best.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'lines': best.lines || CASE st WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE []::VARCHAR[] END}) AS e
+    FROM dp JOIN (SELECT conv, max(i) AS i FROM marked GROUP BY conv) USING (conv, i) GROUP BY conv),
+stats AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(e.cost, 0) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv FROM conversations) c LEFT JOIN stats USING (conv) LEFT JOIN ends USING (conv)
+"""
+
 _ALL = (
     op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op4_toxicity, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
-    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup,
+    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup, op11_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
+SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_conversation_repair": OP11_SQL}
