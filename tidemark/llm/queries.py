@@ -12,6 +12,7 @@ from tidemark.llm.chat import format_chats, read_back, turn_events
 from tidemark.llm.conversation_repair import report
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.fingerprints import next_likeness
+from tidemark.llm.lexical_search import search
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.suffix_dedup import remove_repeats
@@ -112,6 +113,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(damaged(turns), turns)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -187,9 +192,25 @@ SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS conv FROM conversations) c LEFT JOIN stats USING (conv) LEFT JOIN ends USING (conv)
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+words AS (SELECT r, unnest(w) AS term FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term, nn),
+norm AS (SELECT r, doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * nn) // ll AS m FROM d, total WHERE len(w) > 0),
+hit AS (SELECT item_id, r, doc_id, CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN norm USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 _ALL = (
     op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op4_toxicity, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
-    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup, op11_conversation_repair,
+    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup, op11_conversation_repair, op12_ranked_search,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_conversation_repair": OP11_SQL}
+SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_ranked_search": OP12_SQL}
