@@ -11,6 +11,7 @@ from tidemark.llm.common import table
 from tidemark.llm.chat import format_chats, read_back, turn_events
 from tidemark.llm.conversation_repair import report
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.embedding_dedup import near_duplicate_vectors
 from tidemark.llm.fingerprints import next_likeness
 from tidemark.llm.lexical_search import search
 from tidemark.llm.line_dedup import dedup_lines
@@ -117,6 +118,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -208,9 +213,21 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+        label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+    FROM embeddings),
+link AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.good AND b.good AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN comp USING (r) LEFT JOIN n USING (r)
+"""
+
 _ALL = (
     op1_url_filters, op2_suffix_array_dedup, op3_document_fingerprints, op4_toxicity, op5_simhash_near_dedup, op6_bpe_encode_decode, op7_token_files,
-    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup, op11_conversation_repair, op12_ranked_search,
+    op8_chat_formatting, op9_benchmark_decontamination, op10_line_dedup, op11_conversation_repair, op12_ranked_search, op13_embedding_near_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_ranked_search": OP12_SQL}
+SQL: dict[str, str] = {"op8_chat_formatting": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL}
