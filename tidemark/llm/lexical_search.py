@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import dump, load, n_tasks, release_memory
+from tidemark.llm.common import broadcast_if_small, dump, load, n_tasks, release_memory
 from tidemark.session import checkpointed
 
 TOP = 50
@@ -22,6 +22,7 @@ ITEM_BLOCK = 4096  # items searched at a time, and
 TERM_BLOCK = 1 << 16  # the most terms that they may hold together, if more than one item
 BLOCK_POSTINGS = 1 << 19
 BLOCK_DOCS = 1 << 16
+SEEDS = 16  # blocks of the highest bounds that give an item its floor
 _SLICE = 1 << 20
 _TERMS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
@@ -239,12 +240,13 @@ def _search_block(docs: DataFrame, found: list[tuple[int, list[bytes]]], id_col:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), item, np.int32)), pa.array(ids), pa.array(scores)], names=["item", "doc_id", "score"])
             release_memory()
 
-        chosen = which.groupBy("block").agg(F.collect_list("item").alias("items"))
-        return checkpointed(index.select("block", "body").join(chosen, "block").select("body", "items").mapInArrow(score, "item int, doc_id long, score long"))
+        chosen = checkpointed(which.groupBy("block").agg(F.collect_list("item").alias("items")))
+        return checkpointed(index.select("block", "body").join(broadcast_if_small(chosen), "block").select("body", "items").mapInArrow(score, "item int, doc_id long, score long"))
 
     most = checkpointed(index.select("block", "terms", "peaks").mapInArrow(bounds, "item int, block long, bound long"))
-    # the block of the highest bound gives each item a floor; other blocks are scored only if they can reach it
-    first = checkpointed(most.groupBy("item").agg(F.max_by("block", F.struct("bound", "block")).alias("block")))
+    # the blocks of the highest bounds give each item a floor; other blocks are scored only if they can reach it
+    order = Window.partitionBy("item").orderBy(F.col("bound").desc(), "block")
+    first = checkpointed(most.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SEEDS).select("item", "block"))
     seeds = pass_over(first, np.ones(len(items), np.int64))
     floors = np.ones(len(items), np.int64)
     for r in _ranked(seeds, top).filter(F.col("rank") == top).select("item", "score").collect():
