@@ -1,10 +1,14 @@
-"""Vector blocks: the unit of work of all pairwise vector operators.
+"""Vector blocks under a tree of pivots: the unit of work of all pairwise vector operators.
 
-Vectors are sorted by zone and distance to pivot vectors, range-partitioned and cut into blocks of a
-bounded number of rows. A block is one row that holds its vectors as a packed matrix, plus the interval
-of distances of its members to every pivot. For two blocks the triangle inequality gives a lower bound
-of all distances between them, so most block pairs are dropped before their matrices are ever joined.
-Range partitioning includes the id, so a zone that holds a third of all rows is cut like any other.
+A tree of pivots is grown from a bounded sample: each node is split among up to ``FAN`` centres, until a leaf stands for
+about half a block of rows. Vectors go down the tree to a leaf, are range-partitioned by (zone, leaf, distance
+to its centre, id) and cut into blocks of a bounded number of rows; the id is part of the range, so a zone or a leaf
+that holds a third of all rows is cut like any other. A block is one row with its vectors as a packed matrix and, for
+each node on its path, the nearest and the farthest distance of a member to the centre, and a ball of its own.
+
+Two subtrees, or two blocks, are at least as far apart as their centres less their radii. ``candidates`` walks the tree
+against itself from the root: a pair of subtrees that lies beyond the limit of its left side is dropped with
+all block pairs below it, so these are never listed, and matrices are joined for what is left only.
 """
 
 from __future__ import annotations
@@ -20,33 +24,98 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 
 BLOCK_ROWS = 1024
-MAX_PIVOTS = 64
+FAN = 32
+SAMPLE_BYTES = 16 << 20  # bounds the sample, and with it the tree and all that is broadcast of it
+SAMPLE_PER_LEAF = 8
 SLACK = 1e-9
 
 BLOCK_SCHEMA = (
-    "block long, zone long, n int, low array<double>, high array<double>, min_tag double, max_tag double, "
-    "ids binary, tags binary, mat binary"
+    "block long, zone long, n int, node int, path array<int>, inner array<double>, outer array<double>, "
+    "middle array<double>, radius double, min_tag double, max_tag double, ids binary, tags binary, mat binary"
 )
 
 
+@dataclass
+class PivotTree:
+    """Nodes in depth-first order; ``path[k, l]`` is the ancestor of k at level l, k itself below its own level."""
+
+    centres: np.ndarray
+    kids: list[np.ndarray]
+    path: np.ndarray
+
+    @property
+    def depth(self) -> int:
+        return self.path.shape[1] - 1
+
+    def leaves_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each row, by the nearest centre at each level, and its distance to the centre of the leaf."""
+        node = np.zeros(len(x), dtype=int)
+        open_ = np.unique(node) if len(self.kids[0]) else node[:0]
+        while len(open_):
+            below = []
+            for k in open_:
+                rows = np.nonzero(node == k)[0]
+                node[rows] = self.kids[k][squared_distances(x[rows], self.centres[self.kids[k]]).argmin(1)]
+                below += [c for c in np.unique(node[rows]) if len(self.kids[c])]
+            open_ = np.array(below, dtype=int)
+        return node, np.sqrt(((x - self.centres[node]) ** 2).sum(1))
+
+    def meet(self, nodes: np.ndarray) -> int:
+        """Lowest node above all ``nodes``."""
+        paths = self.path[nodes]
+        same = (paths == paths[0]).all(0)
+        return int(paths[0][np.nonzero(same)[0].max()])
+
+
 @dataclass
 class Blocks:
-    """Blocks of one vector table; ``pivots`` is at most MAX_PIVOTS vectors."""
+    """Blocks of one vector table. ``nodes`` (level, node, up, centre, outer) is the tree, with what its blocks reach."""
 
     df: DataFrame
-    pivots: np.ndarray
+    nodes: DataFrame
+    depth: int
     dim: int
 
 
-def choose_pivots(vectors: DataFrame, rows: int, block_rows: int) -> np.ndarray:
-    """Up to MAX_PIVOTS vectors, the first by a hash of the id (a top-k, so nothing large is collected)."""
-    count = int(min(MAX_PIVOTS, max(1, rows // (2 * block_rows))))
+def grow_tree(sample: np.ndarray, leaves: int) -> PivotTree:
+    """Tree over a sample in random order: centres start as its first rows and are moved to the means of their rows."""
+    per_leaf = max(len(sample) // max(leaves, 1), 1)
+    centres, kids, up, level = [], [], [], []
+
+    def split(rows: np.ndarray, centre: np.ndarray, above: int) -> int:
+        me = len(centres)
+        centres.append(centre)
+        kids.append(np.zeros(0, dtype=int))
+        up.append(above)
+        level.append(level[above] + 1 if above >= 0 else 0)
+        wanted = min(FAN, -(-len(rows) // per_leaf))
+        if wanted > 1:
+            x = sample[rows]
+            means = np.unique(x[:wanted], axis=0)
+            for _ in range(4):
+                at = squared_distances(x, means).argmin(1)
+                held = np.unique(at)
+                means = np.stack([x[at == k].mean(0) for k in held])
+            if len(held) > 1:
+                at = squared_distances(x, means).argmin(1)
+                kids[me] = np.array([split(rows[at == k], means[k], me) for k in np.unique(at)], dtype=int)
+        return me
+
+    split(np.arange(len(sample)), sample.mean(0) if len(sample) else np.zeros(sample.shape[1]), -1)
+    path = np.zeros((len(centres), max(level) + 1), dtype=int)
+    for k in range(len(centres)):
+        path[k, : level[k]] = path[up[k], : level[k]] if k else 0
+        path[k, level[k] :] = k
+    return PivotTree(np.array(centres), kids, path)
+
+
+def choose_sample(vectors: DataFrame, rows: int, block_rows: int) -> tuple[np.ndarray, int]:
+    """Vectors the first by a hash of the id (a top-k, at most ``SAMPLE_BYTES``), and the leaves to grow from them."""
+    dim = (vectors.select(F.size("embedding").alias("d")).first() or [0])[0]
+    leaves = max(2 * rows // block_rows, 1)
+    count = int(max(min(SAMPLE_PER_LEAF * leaves, rows, SAMPLE_BYTES // (8 * max(dim, 1))), 1))
     picked = vectors.orderBy(F.xxhash64("article_id"), "article_id").limit(count).select("embedding").collect()
-    return np.array([r[0] for r in picked], dtype=float).reshape(len(picked), -1)
-
-
-def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(squared_distances(x, pivots), 0.0))
+    return np.array([r[0] for r in picked], dtype=float).reshape(len(picked), -1), min(leaves, max(count // SAMPLE_PER_LEAF, 1))
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,16 +146,13 @@ def rounded(d: np.ndarray) -> np.ndarray:
 
 
 def build_blocks(
-    vectors: DataFrame,
-    zone: Column | None = None,
-    tag: Column | None = None,
-    block_rows: int = BLOCK_ROWS,
-    pivots: np.ndarray | None = None,
+    vectors: DataFrame, zone: Column | None = None, tag: Column | None = None, block_rows: int = BLOCK_ROWS
 ) -> Blocks:
     """Blocks of ``vectors(article_id, embedding)``.
 
-    ``zone`` keeps rows apart that can never meet (for example days); without it the zone is the nearest
-    pivot. ``tag`` is one number per row that travels with the block.
+    ``zone`` keeps rows apart that need not meet (for example days). ``tag`` is one number per row that travels with
+    the block. A block ends with its zone, when it is full, or with its leaf once it is a quarter full; so it may
+    cover several small leaves, and then stands under the lowest node above them.
     """
     base = vectors.select(
         "article_id",
@@ -94,100 +160,146 @@ def build_blocks(
         (zone if zone is not None else F.lit(0)).cast("long").alias("zone"),
         (tag if tag is not None else F.lit(0.0)).cast("double").alias("tag"),
     )
-    if pivots is None:
-        pivots = choose_pivots(base, base.count(), block_rows)
-    dim = pivots.shape[1] if len(pivots) else 0
-    sent = base.sparkSession.sparkContext.broadcast(pivots)
-    own_zone = zone is not None
+    sample, leaves = choose_sample(base, base.count(), block_rows)
+    tree, dim = grow_tree(sample, leaves), sample.shape[1]
+    sent = base.sparkSession.sparkContext.broadcast(tree)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                d = pivot_distances(np.stack(b["embedding"].to_numpy()), sent.value)
-                cell = d.argmin(1)
-                b = b.assign(cell=cell.astype("int64"), dist=d[np.arange(len(b)), cell])
-                if not own_zone:
-                    b["zone"] = b["cell"]
-                yield b
+                leaf, dist = sent.value.leaves_of(np.stack(b["embedding"].to_numpy()))
+                yield b.assign(leaf=leaf.astype("int32"), dist=dist)
 
     located = base.mapInPandas(
-        nearest, "article_id long, embedding array<double>, zone long, tag double, cell long, dist double"
+        locate, "article_id long, embedding array<double>, zone long, tag double, leaf int, dist double"
     )
-    order = ["zone", "cell", "dist", "article_id"]
+    order = ["zone", "leaf", "dist", "article_id"]
     ranged = located.repartitionByRange(*order).sortWithinPartitions(*order)
 
-    def emit(ids, tags, zone_id, mat) -> dict:
+    def block_row(held: list[pd.DataFrame]) -> pd.DataFrame:
+        tree, rows = sent.value, pd.concat(held)
         # Members are kept in id order, so that the first of several equal distances has the lowest id.
-        by_id = np.argsort(ids)
-        ids, tags, mat = ids[by_id], tags[by_id], np.ascontiguousarray(mat[by_id])
-        d = pivot_distances(mat, sent.value)
-        return {
-            "block": int(ids[0]),
-            "zone": int(zone_id),
-            "n": len(ids),
-            "low": d.min(0).tolist(),
-            "high": d.max(0).tolist(),
-            "min_tag": float(tags.min()),
-            "max_tag": float(tags.max()),
-            "ids": ids.astype("int64").tobytes(),
-            "tags": tags.astype("float64").tobytes(),
-            "mat": mat.tobytes(),
-        }
+        rows = rows.iloc[np.argsort(rows["article_id"].to_numpy())]
+        ids, tags = rows["article_id"].to_numpy(), rows["tag"].to_numpy()
+        mat = np.ascontiguousarray(np.stack(rows["embedding"].to_numpy()).astype(float))
+        path = tree.path[tree.meet(rows["leaf"].unique())]
+        middle = mat.mean(0)
+        *reach, own = [np.sqrt(((mat - c) ** 2).sum(1)) for c in (*tree.centres[path], middle)]
+        return pd.DataFrame(
+            [
+                {
+                    "block": int(ids[0]),
+                    "zone": int(rows["zone"].iloc[0]),
+                    "n": len(ids),
+                    "node": int(path[-1]),
+                    "path": path.tolist(),
+                    "inner": [float(d.min()) for d in reach],
+                    "outer": [float(d.max()) for d in reach],
+                    "middle": middle.tolist(),
+                    "radius": float(own.max()),
+                    "min_tag": float(tags.min()),
+                    "max_tag": float(tags.max()),
+                    "ids": ids.astype("int64").tobytes(),
+                    "tags": tags.astype("float64").tobytes(),
+                    "mat": mat.tobytes(),
+                }
+            ]
+        )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for b in batches:
-            for z, part in b.groupby("zone", sort=True):
+            for (z, leaf), part in b.groupby(["zone", "leaf"], sort=False):
+                size = sum(map(len, held))
+                if held and (held[0]["zone"].iloc[0] != z or (size >= block_rows // 4 and held[-1]["leaf"].iloc[0] != leaf)):
+                    yield block_row(held)
+                    held, size = [], 0
                 while len(part):
-                    room = block_rows - sum(map(len, held))
-                    if held and (held[0]["zone"].iloc[0] != z or room <= 0):
-                        yield block_frame(held)
-                        held, room = [], block_rows
-                    held.append(part.iloc[:room])
-                    part = part.iloc[room:]
+                    if size >= block_rows:
+                        yield block_row(held)
+                        held, size = [], 0
+                    held.append(part.iloc[: block_rows - size])
+                    part = part.iloc[block_rows - size :]
+                    size += len(held[-1])
         if held:
-            yield block_frame(held)
+            yield block_row(held)
 
-    def block_frame(held: list[pd.DataFrame]) -> pd.DataFrame:
-        all_ = pd.concat(held)
-        mat = np.stack(all_["embedding"].to_numpy()).astype(float)
-        row = emit(all_["article_id"].to_numpy(), all_["tag"].to_numpy(), all_["zone"].iloc[0], mat)
-        return pd.DataFrame([row])
-
-    return Blocks(checkpointed(ranged.mapInPandas(pack, BLOCK_SCHEMA)), pivots, dim)
+    df = checkpointed(ranged.mapInPandas(pack, BLOCK_SCHEMA))
+    centres = base.sparkSession.createDataFrame(
+        pd.DataFrame({"node": np.arange(len(tree.centres), dtype="int32"), "centre": tree.centres.tolist()}), "node int, centre array<double>"
+    )
+    steps = F.explode(F.sequence(F.lit(0), F.lit(tree.depth)))
+    per = df.select("path", "outer", steps.alias("level")).groupBy("level", F.col("path")[F.col("level")].alias("node")).agg(
+        F.max(F.col("path")[F.greatest(F.col("level") - 1, F.lit(0))]).alias("up"), F.max(F.col("outer")[F.col("level")]).alias("outer")
+    )
+    return Blocks(df, checkpointed(per.join(F.broadcast(centres), "node").select("level", "node", "up", "centre", "outer")), tree.depth, dim)
 
 
-def lower_bound(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
-    """Least possible distance between two blocks, from their intervals to the same pivots."""
-    gaps = F.zip_with(
-        F.zip_with(low_a, high_b, lambda x, y: x - y),
-        F.zip_with(low_b, high_a, lambda x, y: x - y),
-        lambda x, y: F.greatest(x, y),
-    )
-    return F.greatest(F.array_max(gaps), F.lit(0.0)) - SLACK
+def _apart(centre_a, centre_b) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(centre_a, centre_b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
 def outlines(blocks: Blocks, side: str) -> DataFrame:
-    """The blocks without their matrices, columns suffixed with ``side``."""
-    cols = ["block", "zone", "n", "low", "high", "min_tag", "max_tag"]
-    return blocks.df.select(*[F.col(c).alias(f"{c}_{side}") for c in cols])
-
-
-def zone_pairs(left: Blocks, right: Blocks) -> DataFrame:
-    """All pairs of occupied zones; zones are pivots here, so at most MAX_PIVOTS squared rows."""
-    a = [r[0] for r in left.df.select("zone").distinct().limit(MAX_PIVOTS + 1).collect()]
-    b = [r[0] for r in right.df.select("zone").distinct().limit(MAX_PIVOTS + 1).collect()]
-    if max(len(a), len(b)) > MAX_PIVOTS:
-        raise ValueError("zones must be pivot cells")
-    rows = [(x, y) for x in a for y in b]
-    return left.df.sparkSession.createDataFrame(rows, "zone_a long, zone_b long")
-
-
-def candidate_pairs(left: Blocks, right: Blocks) -> DataFrame:
-    """Block pairs with their lower bound, outlines only; filter before ``with_matrices``."""
-    pairs = F.broadcast(zone_pairs(left, right))
-    joined = outlines(left, "a").join(pairs, "zone_a").join(outlines(right, "b"), "zone_b")
-    return joined.withColumn("bound", lower_bound("low_a", "high_a", "low_b", "high_b"))
+    """The blocks without their matrices, columns suffixed with ``side``; radii to the centre of their node."""
+    cols = ["block", "zone", "n", "node", "middle", "radius", "min_tag", "max_tag"]
+    last = [F.col(c)[blocks.depth].alias(f"{c}_{side}") for c in ("inner", "outer")]
+    return blocks.df.select(*[F.col(c).alias(f"{c}_{side}") for c in cols], *last)
+
+
+def node_pairs(blocks: Blocks, worth=None, marks: DataFrame | None = None) -> DataFrame:
+    """(node_a, node_b, apart): pairs of lowest nodes that survive the walk of the tree against itself.
+
+    ``worth(bound, a, b)`` says whether two subtrees at least ``bound`` apart may matter; ``a`` and ``b`` name a column of
+    ``marks`` (level, node, …) of either side. The tree is bounded by its sample, so a level is broadcast.
+    """
+    def level(n: int, side: str) -> DataFrame:
+        rows = blocks.nodes.filter(F.col("level") == n)
+        if marks is not None:
+            rows = rows.join(F.broadcast(marks), ["level", "node"])
+        return F.broadcast(rows.drop("level").select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "level"]))
+
+    extra = [c for c in (marks.columns if marks is not None else []) if c not in ("level", "node")]
+    pairs = level(0, "a").join(level(0, "b")).select("node_a", "node_b", F.lit(0.0).alias("apart"))
+    for n in range(1, blocks.depth + 1):
+        above = pairs.select(F.col("node_a").alias("up_a"), F.col("node_b").alias("up_b"))
+        met = above.join(level(n, "a"), "up_a").join(level(n, "b"), "up_b").withColumn("apart", _apart("centre_a", "centre_b"))
+        if worth is not None:
+            bound = lowest(F.col("apart"), F.lit(0.0), F.col("outer_a"), F.lit(0.0), F.col("outer_b"), F.lit(False))
+            met = met.filter(worth(bound, *({c: F.col(f"{c}_{side}") for c in extra} for side in "ab")))
+        pairs = met.select("node_a", "node_b", "apart")
+    return pairs
+
+
+def lowest(apart: Column, inner_a: Column, outer_a: Column, inner_b: Column, outer_b: Column, same: Column) -> Column:
+    """Least possible distance of two members: centres less radii, or between two shells about one centre."""
+    shells = F.greatest(inner_a - outer_b, inner_b - outer_a)
+    bound = F.when(same, shells).otherwise(apart - outer_a - outer_b)
+    return F.greatest(bound - (apart + outer_a + outer_b + 1.0) * SLACK, F.lit(0.0))
+
+
+def candidates(blocks: Blocks, worth=None, marks: DataFrame | None = None, near_zones: bool = False) -> DataFrame:
+    """Pairs of block outlines (a, b) with ``bound`` and ``most``, the least and largest distance of their members.
+
+    Both orders of a pair are listed, and each block with itself. ``worth`` and ``marks`` prune the walk of the tree.
+    ``near_zones`` keeps pairs with zone_b equal to zone_a or one more.
+    """
+    a, b = outlines(blocks, "a"), outlines(blocks, "b")
+    pairs = node_pairs(blocks, worth, marks).join(a, "node_a")
+    if near_zones:
+        pairs = pairs.withColumn("zone_b", F.explode(F.array("zone_a", F.col("zone_a") + 1)))
+    joined = pairs.join(b, ["node_b", "zone_b"] if near_zones else ["node_b"])
+    bound = lowest(F.col("apart"), F.col("inner_a"), F.col("outer_a"), F.col("inner_b"), F.col("outer_b"), F.col("node_a") == F.col("node_b"))
+    zero, own = F.lit(0.0), _apart("middle_a", "middle_b")
+    joined = joined.withColumns({"bound": bound, "own": own, "balls": F.col("radius_a") + F.col("radius_b")})
+    nearer = lowest(F.col("own"), zero, F.col("radius_a"), zero, F.col("radius_b"), F.lit(False))
+    most = (F.col("own") + F.col("balls")) * (1 + SLACK) + SLACK
+    return joined.withColumns({"bound": F.greatest("bound", nearer), "most": most}).drop("own", "balls", "middle_a", "middle_b")
+
+
+def by_level(blocks: Blocks, per_block: DataFrame, *aggregates: Column) -> DataFrame:
+    """``marks`` for the walk: the aggregates of ``per_block(block, …)`` for each node of each level."""
+    path = blocks.df.select("block", "path", F.explode(F.sequence(F.lit(0), F.lit(blocks.depth))).alias("level"))
+    return path.join(per_block, "block").groupBy("level", F.col("path")[F.col("level")].alias("node")).agg(*aggregates)
 
 
 def with_matrices(pairs: DataFrame, left: Blocks, right: Blocks, extra: list[str] | None = None) -> DataFrame:
