@@ -20,6 +20,8 @@ from tidemark.llm.common import dump, load, packed, release_memory, slices, unpa
 
 _BLOCK = 32 << 20
 _KNOWN = 150_000  # words whose ids a worker remembers
+_KNOWN_U2 = 200_000  # the same, for ids kept as bytes
+_SHORT = 64  # characters of a word that is remembered as bytes, so that the table is bounded in bytes
 _AT_ONCE = 6 << 20  # bytes of text whose units are held together
 #: The split of byte-level BPE files of this kind, before the merges.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +95,7 @@ class Words:
         self.words = regex.compile(_SPLIT).findall
         self.plain = not any(regex.fullmatch(r"[\p{L}.,;:!?]+", a) for a in self.added)
         self.known: dict[str, list[int]] = {}
+        self.known_u2: dict[str, bytes] = {}
         self.met = bytearray(1 << 22)
         self.symbol = {b: c for c, b in byte_symbols().items()}
 
@@ -140,6 +143,20 @@ class Words:
                 self.met[at] = 1
         return got
 
+    def encode_u2(self, word: str) -> bytes:
+        """Ids as little-endian 16-bit numbers: a word remembered so takes a third of a list's memory."""
+        got = self.known_u2.get(word)
+        if got is None:
+            if word in self.added:
+                return np.array([self.added[word]], "<u2").tobytes()
+            got = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbol))])
+            if len(self.known_u2) < _KNOWN_U2 and len(word) <= _SHORT:
+                at = hash(word) % len(self.met)
+                if self.met[at]:
+                    self.known_u2[word] = got
+                self.met[at] = 1
+        return got
+
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id-to-piece table of the library's byte-level decoder: all bytes, first byte and length by id."""
         table = byte_symbols()

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +32,7 @@ _PER_BUCKET = 4096  # keys of one hash function, on average
 _PER_GROUP = 4
 _SLOT = np.dtype([("print", "<u8"), ("shard", "<u4"), ("place", "<u4"), ("copies", "<u4"), ("n", "<u4"), ("first", "<u8"), ("start", "<u8")])
 _NULL = -(1 << 63)
-_AT_ONCE = 4 << 20  # bytes of text encoded together
+_AT_ONCE = 2 << 20  # bytes of text encoded together
 
 
 @dataclass(frozen=True)
@@ -108,9 +107,10 @@ def write_tokens(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(at, to - at)
                 units, place, first = units_of(part.column(2))
                 seen, word, unit_words = words.distinct(units)
-                ids = [words.encode(w) for w in seen]
-                length = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), "<u2", int(length.sum()))
+                ids = [words.encode_u2(w) for w in seen]
+                length = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+                flat = np.frombuffer(b"".join(ids), "<u2")
+                del units, seen, ids
                 flat, ends = gathered(flat, (np.cumsum(length) - length)[word], length[word])
                 n_ids = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], unit_words])])
                 flat, border = of_texts(place, first, (flat, n_ids))
