@@ -26,7 +26,7 @@ class Config:
     min_samples: int | None = None
     k: int = 8  # only for kmeans
     cluster_dims: int = 5
-    method: str = "pca"  # pca | spectral
+    method: str = "pca"  # pca | spectral | graph
     trend_window_days: int = 3
     dup_threshold: float = 0.80
     seed: int = 42

@@ -509,6 +509,10 @@ def pca_reduce(spark, d):
     return flat(rd.pca_reduce(v.vectors(spark, d), 5))
 
 
+def neighbor_layout(spark, d):
+    return flat(rd.reduce_dims(v.vectors(spark, d), 2, method="graph")[0])
+
+
 def spectral_layout(spark, d):
     return flat(rd.spectral_layout(v.vectors(spark, d), 2))
 
@@ -666,6 +670,6 @@ QUERIES = {
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
         knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
         stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
-        full_analysis, spectral_layout, mst_edges, density_cluster,
+        full_analysis, neighbor_layout, spectral_layout, mst_edges, density_cluster,
     )
 }
