@@ -30,7 +30,7 @@ class Config:
     trend_window_days: int = 3
     dup_threshold: float = 0.80
     seed: int = 42
-    silhouette: str = "exact"  # exact | squared (linear time)
+    silhouette: str = "sampled"  # sampled (exact up to 4,096 points) | exact | squared (another measure)
     embedding_dims: int = 100
     make_model: MakeModel | None = None
 
