@@ -4,7 +4,7 @@ import pytest
 
 from tidemark.functions.ordering import dense_index, lookup
 from tidemark.operators.explore import exact_median
-from tidemark.operators.trends import emerging_topics
+from tidemark.operators.trends import daily_counts, emerging_topics
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
 from tidemark.sources import store as st
@@ -138,6 +138,40 @@ def test_trend_cells(spark, tmp_path):
     assert set(spark.read.parquet(cells).columns) == {"topic_id", "day", "source", "n", "batch"}
 
 
+def test_late_articles_count(spark, tmp_path):
+    """Files out of order, a restart and a lost commit: the stream's table equals the batch operator's."""
+    landed, totals, state = (str(tmp_path / n) for n in ("in", "totals", "state"))
+    schema = "article_id long, published timestamp_ntz, source string, cluster int"
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(days=(90 - i) * 7 % 40), "s", i % 4 - 1) for i in range(90)]
+    for part in (rows[50:], rows[:20], rows[20:50]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landed)
+        sn.count_topics(sn.landed(spark, landed, schema), totals, state)
+    for f in (*(tmp_path / "state" / "commits").glob("2"), *(tmp_path / "state" / "commits").glob(".2*")):
+        f.unlink()
+    sn.count_topics(sn.landed(spark, landed, schema), totals, state)
+    want = daily_counts(spark.createDataFrame(rows, schema))
+    assert sorted(sn.current_counts(spark, totals).collect()) == sorted(want.collect())
+    last = spark.read.parquet(f"{totals}/batch=2").count()
+    assert last < want.filter("n > 0").count()  # only what the batch has touched
+
+
+def test_cells_are_merged_like_a_counter(spark, tmp_path):
+    """After 50 batches, some written twice, all cells are there and few folders are read."""
+    cells = str(tmp_path / "cells")
+    schema = "topic_id int, day date, source string, n long"
+    total = {}
+    for b in range(50):
+        rows = [(b % 3, dt.date(2026, 1, 1 + b % 9), f"s{b % 2}", b + 1), (7, dt.date(2026, 2, 1), "s", 1)]
+        for t, day, source, n in rows:
+            total[t, day, source] = total.get((t, day, source), 0) + n
+        for _ in range(2 if b in (3, 15, 16, 31) else 1):
+            out = sn.keep_cells(spark.createDataFrame(rows, schema).coalesce(1), cells, b)
+        if b in (0, 3, 16, 49):
+            assert {(r["topic_id"], r["day"], r["source"]): r["n"] for r in out.collect()} == total
+        assert len(sn.standing(cells, b)) <= (b + 1).bit_length()
+    assert len(sn.standing(cells, 49)) == 3
+
+
 def test_feed_list():
     assert len(fd.feed_list()) == 9
     assert fd.feed_list({"A": "u"}, " My Feed | https://x|y ") == {"A": "u", "My Feed": "https://x|y"}

@@ -46,7 +46,11 @@ def _sparse_counts(cells: DataFrame) -> DataFrame:
 
 def daily_counts(articles: DataFrame) -> DataFrame:
     """(day, topic_id, n) for every day between the first and last one, zeros filled."""
-    counts = _sparse_counts(topic_day_source(articles))
+    return filled_days(_sparse_counts(topic_day_source(articles)))
+
+
+def filled_days(counts: DataFrame) -> DataFrame:
+    """``counts(topic_id, day, n)`` with a row for every topic and day between the first and last day."""
     span = counts.agg(F.struct(F.min("day").alias("a"), F.max("day").alias("b")).alias("s")).scalar()
     calendar = (
         counts.select("topic_id")

@@ -632,6 +632,13 @@ def stream_daily_counts(spark, d):
     return day_text(spark.read.parquet(out).drop("batch"))
 
 
+def stream_late_counts(spark, d):
+    """Daily counts of a stream that takes articles however late."""
+    totals, state = _paths(spark, "totals", "state")
+    sn.count_topics(_event_stream(spark, d), totals, state)
+    return day_text(sn.current_counts(spark, totals))
+
+
 def stream_assign(spark, d):
     out, state = _paths(spark, "out", "state")
     centroids = cl.cluster_centroids(v.vectors(spark, d))
@@ -669,7 +676,7 @@ QUERIES = {
         article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
         knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
-        stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
+        stream_late_counts, stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
         full_analysis, neighbor_layout, spectral_layout, mst_edges, density_cluster,
     )
 }
