@@ -151,6 +151,22 @@ knn_v AS (
 core_v AS (SELECT src AS article_id, max(d) AS core FROM knn_v WHERE rank <= 9 GROUP BY src)"""
 
 
+# A spanning tree grown from the lowest article: each step takes the nearest one outside and brings its edges in.
+PRIM = KNN + """,
+w_v AS MATERIALIZED (
+  SELECT p.a, p.b, greatest(p.d, x.core, y.core) AS w
+  FROM pair_v p JOIN core_v x ON x.article_id = p.a JOIN core_v y ON y.article_id = p.b),
+root_v AS (SELECT min(article_id) AS root, count(*) AS n FROM vec_v),
+prim AS (
+  SELECT 1 AS step, v.article_id AS node, v.article_id = root AS done, w.w AS reach, CAST(0 AS DOUBLE) AS taken, n
+  FROM vec_v v CROSS JOIN root_v LEFT JOIN w_v w ON w.a = root AND w.b = v.article_id
+  UNION ALL
+  SELECT step + 1, p.node, p.done OR p.node = p.pick, least(p.reach, w.w), p.least, n
+  FROM (SELECT *, first_value(node) OVER (ORDER BY done, reach, node) AS pick, first_value(reach) OVER (ORDER BY done, reach, node) AS least
+        FROM prim WHERE step < n) p
+  LEFT JOIN w_v w ON w.a = p.pick AND w.b = p.node)"""
+
+
 def cleaned() -> str:
     raw = _replace("coalesce(title, '') || '. ' || coalesce(description, '')", f"^[{_BLANK_SET}]+|[{_BLANK_SET}]+$", "''")
     return (
@@ -699,6 +715,11 @@ far_v AS (
         "SELECT src, dst, round(greatest(d, a.core, b.core), 6) AS weight FROM knn_v JOIN core_v a ON a.article_id = src "
         "JOIN core_v b ON b.article_id = dst WHERE rank <= 9",
     ),
+    "mst_edges": lambda: sel(
+        PRIM,
+        "SELECT CAST(max(step) - 1 AS BIGINT) AS edges, round(sum(taken), 6) AS weight FROM (SELECT DISTINCT step, taken FROM prim)",
+        recursive=True,
+    ),
     "batch_embed": lambda: sel(
         cleaned() + f", unit_t AS (SELECT article_id, {letter_counts('embedding_text')} AS u FROM tok_v)",
         "SELECT article_id, CAST(unnest(range(26)) AS INTEGER) AS pos, round(unnest(u), 6) AS value FROM unit_t",
@@ -718,6 +739,9 @@ far_v AS (
         "SELECT strftime(day, '%Y-%m-%d') AS day, topic_id, n FROM cnt_v "
         "WHERE day + INTERVAL 1 DAY <= (SELECT max(published) FROM articles_v WHERE cluster <> -1) - INTERVAL 3 DAY",
     ),
+    "stream_late_counts": lambda: sel(
+        EVENT_ARTICLES + COUNTS, "SELECT strftime(day, '%Y-%m-%d') AS day, topic_id, n FROM full_v"
+    ),
     "stream_assign": lambda: sel(ASSIGNED, "SELECT * FROM assign_v"),
     "stream_trends": lambda: sel(EVENT_ARTICLES + TREND, f"SELECT {TREND_COLS} FROM trend_v"),
 }
