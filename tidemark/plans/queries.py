@@ -661,6 +661,13 @@ def full_analysis(spark, d):
     return rounded_topics(run_analysis(spread(v.articles(spark, d)).drop("cluster"), cfg).topics)
 
 
+def full_analysis_defaults(spark, d):
+    """The end-to-end run at its defaults (100 dimensions, density clustering): one row per article."""
+    cfg = Config(embedding_backend="tfidf")
+    out = run_analysis(spread(v.articles(spark, d)).drop("cluster"), cfg).articles
+    return out.select("article_id", "cluster", "topic_name", "story_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -677,6 +684,6 @@ QUERIES = {
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
         knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
         stream_late_counts, stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
-        full_analysis, neighbor_layout, spectral_layout, mst_edges, density_cluster,
+        full_analysis, full_analysis_defaults, neighbor_layout, spectral_layout, mst_edges, density_cluster,
     )
 }
