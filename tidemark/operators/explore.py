@@ -184,6 +184,11 @@ def filter_options(articles: DataFrame) -> DataFrame:
     return days.unionByName(options).orderBy("kind", "value")
 
 
+def article_labels(articles: DataFrame) -> DataFrame:
+    """(article_id, label): titles cut to 100 characters, as the box that picks an article lists them."""
+    return articles.select("article_id", F.left("title", F.lit(100)).alias("label"))
+
+
 def article_detail(articles: DataFrame, article_id: int) -> DataFrame:
     return articles.filter(F.col("article_id") == article_id).select(
         "title",

@@ -637,6 +637,9 @@ i_v AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY topic_id) AS i
     "article_list": lambda: sel(
         NAMED, f"SELECT {_stamp('published')} AS published, source, topic_name, title, url FROM named_v"
     ),
+    "article_labels": lambda: sel(
+        NAMED, "SELECT article_id, left(concat_ws(' ', title, description), 100) AS label FROM named_v"
+    ),
     "filter_options": lambda: sel(
         NAMED,
         "SELECT 'first_day' AS kind, strftime(min(published), '%Y-%m-%d') AS value FROM named_v "

@@ -459,6 +459,12 @@ def filter_options(spark, d):
     return ex.filter_options(named(spark, d))
 
 
+def article_labels(spark, d):
+    """Labels of long titles: the given ones, each followed by its description."""
+    long = F.concat_ws(" ", "title", "description")
+    return ex.article_labels(named(spark, d).withColumn("title", long))
+
+
 def article_detail(spark, d):
     return ex.article_detail(named(spark, d), 11)
 
@@ -680,7 +686,7 @@ QUERIES = {
         daily_counts, daily_counts_wide, window_compare, source_diversity, velocity, emerging_score, trend_label,
         topic_summary, topic_with_trend, topic_table, coherence_table, topic_distribution, overview, top_emerging,
         trend_lines, trend_table, topic_latest, source_mix, article_filter, article_list, filter_options,
-        article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
+        article_labels, article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
         knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
         stream_late_counts, stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
