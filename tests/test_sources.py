@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import dense_index, lookup
 from tidemark.operators.explore import exact_median
@@ -8,6 +9,7 @@ from tidemark.operators.trends import daily_counts, emerging_topics
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
 from tidemark.sources import store as st
+from tidemark.sources.feed_files import ItemCutter
 from tidemark.streaming import news as sn
 
 
@@ -91,6 +93,91 @@ def test_feed_fields(spark, tmp_path):
     assert got == {"R": ("R", "https://r", "Ann", "a"), "A": ("A & B", "https://a", "Joe", "t1")}
 
 
+def items_of(data, size):
+    """What the cutter gives for ``data`` in chunks of ``size`` bytes."""
+    cutter, out = ItemCutter(), []
+    for chunk in [*(data[i : i + size] for i in range(0, len(data), size)), b""]:
+        out += cutter.feed(chunk)
+        if cutter.error:
+            break
+    return out, cutter.error
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+def test_items_are_cut_at_any_chunk(size):
+    inner = ["<item a='x>y'><title>é &amp; <![CDATA[</item> <item>]]></title></item>", "<item><item>in</item></item>", "<item/>", "<item>z/></item >", "<item/>"]
+    text = "<rss><!-- <item> --><channel><title>t</title>" + "".join(inner) + "</channel></rss>"
+    assert items_of(text.encode(), size) == (inner, None)
+    for encoding in ("iso-8859-1", "windows-1252", "utf-8"):
+        head = f'<?xml version="1.0" encoding="{encoding}"?>'
+        assert items_of((head + text).encode(encoding), size) == (inner, None)
+    if size > 1:
+        assert items_of(text.encode("utf-16"), size) == (inner, None)
+    cut, error = items_of(text.encode()[:-30], size)
+    assert cut == inner[:-2] and error
+    assert items_of("<feed><entry>1</entry><entry>2</b></feed>".encode(), size)[0] == ["<entry>1</entry>"]
+
+
+def landing(root, feed, name, items, atom=False):
+    item = (
+        '<entry><title>{0} &amp; é</title><link href="u{0}"/><updated>2026-01-02T10:00:00Z</updated><author><name>Joe</name></author></entry>'
+        if atom
+        else "<item><title><![CDATA[{0} & é]]></title><link>u{0}</link><pubDate>Fri, 02 Jan 2026 10:00:00 GMT</pubDate><dc:creator>Ann</dc:creator></item>"
+    )
+    body = "".join(item.format(i) for i in items)
+    text = f"<feed>{body}</feed>" if atom else f"<rss xmlns:dc='http://purl.org/dc/elements/1.1/'><channel>{body}</channel></rss>"
+    (root / feed).mkdir(parents=True, exist_ok=True)
+    (root / feed / name).write_text(text)
+
+
+def test_feed_stream(spark, tmp_path):
+    """Files that land in three steps, with a lost commit, a broken and an empty file: the same articles as one batch read of each file."""
+    root = tmp_path / "in"
+    articles, fetches, state = (str(tmp_path / n) for n in ("articles", "fetches", "state"))
+
+    def take():
+        sn.run_once(sn.feed_items(spark, str(root), 4), sn.keep_feeds(articles, fetches), state)
+
+    landing(root, "R", "01.xml", range(6))
+    landing(root, "A", "01.xml", range(10, 13), atom=True)
+    (root / "R" / "_part").write_text("not read")
+    take()
+    landing(root, "R", "02.xml", [20])
+    (root / "E").mkdir()
+    (root / "E" / "01.xml").write_text("")
+    take()
+    take()  # nothing new
+    landing(root, "A", "02.xml", range(30, 40), atom=True)
+    (root / "B").mkdir()
+    (root / "B" / "01.xml").write_text("<rss><channel><item><title>b</ti")
+    take()
+    got = spark.read.parquet(articles)
+    assert [r["n"] for r in got.groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [7, 1, 4]
+    for f in (*(tmp_path / "state" / "commits").glob("2"), *(tmp_path / "state" / "commits").glob(".2*")):
+        f.unlink()
+    take()
+
+    want = []
+    for feed, name, tag in (("R", "01.xml", "item"), ("R", "02.xml", "item"), ("A", "01.xml", "entry"), ("A", "02.xml", "entry")):
+        one = fd.collect_feeds([fd.read_feed(spark, feed, str(root / feed / name), tag)], limit=4)
+        want += [tuple(r) for r in one.drop("pos").collect()]
+    got = spark.read.parquet(articles)
+    assert sorted(tuple(r) for r in got.drop("file", "pos", "batch").collect()) == sorted(want)
+    assert len(want) == 12 and {r["author"] for r in got.collect()} == {"Ann", "Joe"}
+    feeds = spark.createDataFrame([(n,) for n in "RAEBX"], "feed string")
+    status = {r["feed"]: r["status"] for r in fd.newest_status(feeds, spark.read.parquet(fetches)).collect()}
+    none = "no entries (feed empty or unreachable)"
+    assert status == {"R": "1 articles", "A": "4 articles", "E": none, "B": "error: malformed feed item", "X": none}
+
+    batch = fd.landed_items(spark.read.format("landed_feeds").option("limit", 4).load(str(root)))
+    assert sorted(fd.landed_articles(batch).collect()) == sorted(got.drop("batch").collect())
+
+    store = str(tmp_path / "store")
+    items = sn.feed_items(spark, str(root), 4)
+    sn.store_new(fd.landed_articles(items), store, str(tmp_path / "state2"))
+    assert st.count_articles(spark, store) == 12
+
+
 def test_missing_words(spark, tmp_path):
     (tmp_path / "m.csv").write_text("title,source,description\nT,NA,None\nN/A,s,d\nU,none,<NA>\n")
     rows = art.read_csv(spark, str(tmp_path / "m.csv")).orderBy("article_id").collect()

@@ -364,6 +364,14 @@ feed_v AS (
          TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(page_id % 14 AS INTEGER)) + to_seconds((page_id * 37) % 86400) AS t
   FROM pages)"""
 
+# The first 15 items of each file of 100 ids; the newest file of a feed tells its status.
+FETCHED = FEED + """,
+fetch_v AS (
+  SELECT *, pos // 100 AS part, row_number() OVER (PARTITION BY feed, pos // 100 ORDER BY pos) - 1 AS place FROM feed_v),
+newest_v AS (
+  SELECT feed, least(count(*), 15) AS n FROM fetch_v f
+  WHERE part = (SELECT max(part) FROM fetch_v g WHERE g.feed = f.feed) GROUP BY feed)"""
+
 STORE = ARTICLES + """,
 batch_v AS (
   SELECT article_id, title, CASE WHEN article_id % 23 = 0 THEN NULL ELSE url END AS url FROM articles_v),
@@ -733,6 +741,18 @@ far_v AS (
         f"SELECT ord AS row, title, description, source, url, {_stamp('published')} AS published, author, category "
         "FROM fill_v WHERE trim(title) <> ''",
     ),
+    "stream_feeds": lambda: sel(
+        FETCHED,
+        "SELECT part, feed, place AS pos, coalesce(title, '') AS title, CASE WHEN i % 2 = 0 THEN trim('about ' || title) ELSE '' END AS description, "
+        f"feed AS source, url, {_stamp('t - INTERVAL 2 HOUR')} AS published, "
+        "CASE WHEN i % 7 <> 0 THEN '' WHEN i % 5 >= 3 THEN 'Joe' ELSE 'Ann' END AS author, "
+        "CASE WHEN i % 3 = 0 THEN 'world' ELSE '' END AS category FROM fetch_v WHERE place < 15",
+    ),
+    "stream_feed_status": lambda: sel(
+        FETCHED,
+        "SELECT f.feed, coalesce(CAST(n AS VARCHAR) || ' articles', 'no entries (feed empty or unreachable)') AS status "
+        "FROM (SELECT 'feed' || CAST(unnest(range(7)) AS VARCHAR) AS feed) f LEFT JOIN newest_v USING (feed)",
+    ),
     "stream_dedup": lambda: sel(
         ARTICLES,
         "SELECT title, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY article_id) AS r FROM articles_v) WHERE r = 1",

@@ -625,6 +625,29 @@ def stream_ingest(spark, d):
     return spark.read.parquet(out).drop("batch").withColumns(stamp("published"))
 
 
+def _collected(spark, d):
+    """Feed files that land in three steps, taken by a stream after each: its articles and its item counts per file."""
+    root, articles, fetches, state = _paths(spark, "landed", "articles", "fetches", "state")
+    files = checkpointed(v.feed_files(spark, d))
+    last = files.agg(F.coalesce(F.max(F.col("part").cast("long")), F.lit(0)).alias("p")).scalar()
+    for step in range(3):
+        now = files.filter(F.floor(F.col("part").cast("long") * 3 / (last + 1)) == step)
+        now.write.partitionBy("feed", "part").mode("append").text(root)
+        sn.run_once(sn.feed_items(spark, root, 15), sn.keep_feeds(articles, fetches), state)
+    return spark.read.parquet(articles), spark.read.parquet(fetches)
+
+
+def stream_feeds(spark, d):
+    articles = _collected(spark, d)[0]
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long").alias("part")
+    return articles.select(part, *[c for c in articles.columns if c not in ("file", "batch")]).withColumns(stamp("published"))
+
+
+def stream_feed_status(spark, d):
+    feeds = spark.createDataFrame([(f"feed{n}",) for n in range(7)], "feed string")
+    return fd.newest_status(feeds, _collected(spark, d)[1])
+
+
 def stream_dedup(spark, d):
     store, state = _paths(spark, "store", "state")
     sn.store_new(v.shape_articles(_stream(spark, d, "documents")), store, state, "article_id")
@@ -688,7 +711,7 @@ QUERIES = {
         trend_lines, trend_table, topic_latest, source_mix, article_filter, article_list, filter_options,
         article_labels, article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
-        knn_graph, core_distance, mutual_reachability, stream_ingest, stream_dedup, stream_daily_counts,
+        knn_graph, core_distance, mutual_reachability, stream_ingest, stream_feeds, stream_feed_status, stream_dedup, stream_daily_counts,
         stream_late_counts, stream_assign, stream_trends, batch_embed, semantic_keywords, lsa_embed, pca_reduce, kmeans_cluster,
         full_analysis, full_analysis_defaults, neighbor_layout, spectral_layout, mst_edges, density_cluster,
     )

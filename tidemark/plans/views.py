@@ -93,6 +93,20 @@ def feed_items(spark: SparkSession, sf_dir: str, atom: bool = False) -> DataFram
     )
 
 
+def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as whole feed files (feed, part, xml): a file holds the pages of a range of 100 ids; two of five feeds are Atom."""
+
+    def files(atom: bool, opened: str, closed: str) -> DataFrame:
+        items = feed_items(spark, sf_dir, atom).filter(F.col("feed").isin("feed3", "feed4") == atom)
+        held = F.array_sort(F.collect_list(F.struct("pos", "xml")))["xml"]  # 20 items at most
+        part = F.format_string("%012d", F.floor(F.col("pos") / 100))
+        text = F.concat(F.lit(opened), F.array_join(held, "\n"), F.lit(closed))
+        return items.groupBy("feed", part.alias("part")).agg(text.alias("xml"))
+
+    rss = files(False, '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>all</title>', "</channel></rss>")
+    return rss.unionByName(files(True, '<feed xmlns="http://www.w3.org/2005/Atom"><title>all</title>', "</feed>"))
+
+
 def _rss_parts(i: Column, title: Column, url: Column, at: Column) -> list[Column]:
     return [
         F.lit("<item><title>"),

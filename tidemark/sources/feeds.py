@@ -66,11 +66,10 @@ def _link() -> Column:
     return _text(first["_VALUE"], first["_href"])
 
 
-def item_rows(items: DataFrame) -> DataFrame:
-    """Parsed items (``feed``, ``pos`` and the item fields) to article columns."""
+def item_rows(items: DataFrame, keep: tuple[str, ...] = ("feed", "pos")) -> DataFrame:
+    """Parsed items (``feed``, ``pos`` and the item fields) to article columns, with the columns to ``keep`` in front."""
     return items.select(
-        "feed",
-        "pos",
+        *keep,
         _text("title").alias("title"),
         _text("summary", "description", "content").alias("description"),
         F.col("feed").alias("source"),
@@ -110,6 +109,25 @@ def parse_items(df: DataFrame, xml_col: str) -> DataFrame:
     return parsed.select(*[c for c in df.columns if c != xml_col], "_x.*")
 
 
+def landed_items(raw: DataFrame) -> DataFrame:
+    """Rows of the ``landed_feeds`` source with parsed fields; the error of a file stands in its last row."""
+    parsed = parse_items(raw.withColumn("_xml", F.col("xml")), "_xml")
+    return parsed.withColumn("_corrupt_record", F.coalesce("_corrupt_record", "error")).drop("error")
+
+
+def landed_articles(items: DataFrame) -> DataFrame:
+    """Articles of :func:`landed_items`, by feed, file and position."""
+    good = items.filter(F.col("xml").isNotNull() & F.col("_corrupt_record").isNull())
+    return item_rows(good, ("feed", "file", "pos"))
+
+
+def fetch_counts(items: DataFrame) -> DataFrame:
+    """(feed, file, n, n_bad) of :func:`landed_items`: one row per file, those without items too."""
+    bad = F.col("_corrupt_record").isNotNull()
+    counts = (F.count_if(F.col("xml").isNotNull() & ~bad).alias("n"), F.count_if(bad).alias("n_bad"))
+    return items.groupBy("feed", "file").agg(*counts)
+
+
 def collect_feeds(parsed: list[DataFrame] | DataFrame, limit: int = 100) -> DataFrame:
     """Articles of all feeds; corrupt items are left out and show in ``feed_status``."""
     items = parsed if isinstance(parsed, DataFrame) else reduce(DataFrame.unionByName, parsed)
@@ -117,15 +135,26 @@ def collect_feeds(parsed: list[DataFrame] | DataFrame, limit: int = 100) -> Data
     return limit_per_feed(item_rows(good), limit)
 
 
-def feed_status(feeds: DataFrame, parsed: DataFrame, limit: int = 100) -> DataFrame:
-    """One message per feed of ``feeds(feed)``: item count, no entries, or an error."""
-    bad = F.col("_corrupt_record").isNotNull()
-    counts = parsed.groupBy("feed").agg(
-        F.least(F.count_if(~bad), F.lit(limit)).alias("n"), F.count_if(bad).alias("n_bad")
-    )
+def _status(feeds: DataFrame, counts: DataFrame) -> DataFrame:
+    # The messages.
     message = (
         F.when(F.coalesce("n", F.lit(0)) > 0, F.concat(F.col("n").cast("string"), F.lit(" articles")))
         .when(F.coalesce("n_bad", F.lit(0)) > 0, "error: malformed feed item")
         .otherwise("no entries (feed empty or unreachable)")
     )
     return feeds.select("feed").join(counts, "feed", "left").select("feed", message.alias("status"))
+
+
+def feed_status(feeds: DataFrame, parsed: DataFrame, limit: int = 100) -> DataFrame:
+    """One message per feed of ``feeds(feed)``: item count, no entries, or an error."""
+    bad = F.col("_corrupt_record").isNotNull()
+    counts = parsed.groupBy("feed").agg(
+        F.least(F.count_if(~bad), F.lit(limit)).alias("n"), F.count_if(bad).alias("n_bad")
+    )
+    return _status(feeds, counts)
+
+
+def newest_status(feeds: DataFrame, fetches: DataFrame) -> DataFrame:
+    """One message per feed from its newest file, by the rows of :func:`fetch_counts` (a repeated row changes nothing)."""
+    newest = fetches.groupBy("feed").agg(F.max(F.struct("file", "n", "n_bad")).alias("f"))
+    return _status(feeds, newest.select("feed", "f.n", "f.n_bad"))

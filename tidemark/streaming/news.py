@@ -21,6 +21,8 @@ from tidemark.sources.articles import (
     fill_published,
     parse_published,
 )
+from tidemark.sources.feed_files import FeedFiles
+from tidemark.sources.feeds import fetch_counts, landed_articles, landed_items
 from tidemark.sources.store import save_articles
 
 Sink = Callable[[DataFrame, int], None]
@@ -70,6 +72,29 @@ def ingest(raw: DataFrame, path: str, state: str) -> None:
     run_once(normalize_stream(raw), write, state)
 
 
+def feed_items(spark: SparkSession, root: str, limit: int = 100) -> DataFrame:
+    """Stream of the items of the feed files that land below ``root``, a folder per feed (see ``FeedFiles``)."""
+    spark.dataSource.register(FeedFiles)
+    return landed_items(spark.readStream.format("landed_feeds").option("limit", limit).load(root))
+
+
+def keep_feeds(articles: str, fetches: str) -> Sink:
+    """Sink for :func:`feed_items`: articles below ``articles``, item counts of every file below ``fetches``.
+
+    For ``run_once`` or ``start_continuous``. Each batch has its own folders, so a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            append_to(articles)(landed_articles(batch), batch_id)
+            append_to(fetches)(fetch_counts(batch), batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def query_id(spark: SparkSession, state: str) -> str:
     """The id that a streaming query keeps over restarts, from the metadata of its state folder."""
     return json.loads(spark.read.text(f"{state}/metadata").first()[0])["id"]
