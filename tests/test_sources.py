@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import dense_index, lookup
-from tidemark.operators.explore import exact_median
+from tidemark.operators.explore import article_filter, exact_median
 from tidemark.operators.trends import daily_counts, emerging_topics
 from tidemark.sources import articles as art
 from tidemark.sources import feeds as fd
@@ -195,6 +195,33 @@ def test_repeated_save(spark, tmp_path):
         assert sorted(r["id"] for r in st.load_store(spark, path).collect()) == [1, 2, 3]
 
 
+def test_store_by_day(spark, tmp_path):
+    """A date filter opens the folders of its days only, late articles included; a save that failed half way costs ids at most."""
+    path = str(tmp_path / "store")
+    schema = "title string, description string, source string, url string, published timestamp_ntz, author string, category string"
+
+    def batch(days, tag):
+        rows = [(f"t{tag}{i}", "", "s", f"u{tag}{i}", d and dt.datetime(2026, 1, d, 23, 59, 59), "", "") for i, d in enumerate(days)]
+        return spark.createDataFrame(rows, schema)
+
+    assert st.save_articles(batch([1, 2, 2, 3, None], "a"), path) == 5
+    assert st.save_articles(batch([2, 9], "b"), path) == 2
+    assert st.save_articles(batch([2, 9], "b"), path) == 0
+    table = st.load_days(spark, path)
+    got = article_filter(table, days=(dt.date(2026, 1, 2), dt.date(2026, 1, 3)), day_col="day")
+    assert sorted(r["title"] for r in got.collect()) == ["ta1", "ta2", "ta3", "tb0"]
+    scan = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert "day" in scan and "2026-01-02" in scan and "2026-01-03" in scan
+    assert len(list((tmp_path / "store").glob("batch=*/day=2026-01-02"))) == 2
+    assert [r["title"] for r in table.filter("day is null").collect()] == ["ta4"]
+    assert st.load_store(spark, path).columns == ["id", *art.COLUMNS, "fetched_at"]
+
+    spark.range(1).selectExpr("9L as last").write.parquet(f"{path}-ids/batch=failed")  # noted, never written
+    assert st.save_articles(batch([4], "c"), path, name="x") == 1
+    assert st.save_articles(batch([4, 5], "c"), path, name="x") == 2
+    assert sorted(r["id"] for r in st.load_store(spark, path).collect()) == [1, 2, 3, 4, 5, 6, 7, 10, 11]
+
+
 def test_stream_restart(spark, tmp_path):
     """New files are taken once; a batch whose commit was lost is taken again and replaces itself."""
     landed, store, state = (str(tmp_path / n) for n in ("in", "store", "state"))

@@ -132,8 +132,12 @@ def article_filter(
     topics: list[str] | None = None,
     sources: list[str] | None = None,
     days: tuple[dt.date, dt.date] | None = None,
+    day_col: str | None = None,
 ) -> DataFrame:
-    """Search text, topic names, sources and date range, all optional."""
+    """Search text, topic names, sources and date range, all optional.
+
+    ``day_col`` names the day of ``published`` if the table is partitioned by it, so that other days are not opened.
+    """
     tests = []
     if search:
         tests.append(article_search(F.col("title"), F.col("description"), search))
@@ -143,6 +147,8 @@ def article_filter(
         tests.append(F.col("source").isin(sources))
     if days:
         tests.append(date_range(*days))
+        if day_col:
+            tests.append(F.col(day_col).between(*days))
     return articles.filter(all_of(tests))
 
 

@@ -642,6 +642,14 @@ i_v AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY topic_id) AS i
         + ", ".join(f"'src{n}'" for n in range(10))
         + f") AND {DAYS}",
     ),
+    "stored_filter": lambda: sel(
+        ARTICLES,
+        f"SELECT title, source, url, {_stamp('published')} AS published FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN article_id % 3 = 0 THEN 0 ELSE 1 END, article_id) AS i FROM articles_v) "
+        "WHERE i = 1 AND (regexp_matches(title, '(?i)tion') OR regexp_matches(description, '(?i)tion')) AND source IN ("
+        + ", ".join(f"'src{n}'" for n in range(10))
+        + f") AND {DAYS}",
+    ),
     "article_list": lambda: sel(
         NAMED, f"SELECT {_stamp('published')} AS published, source, topic_name, title, url FROM named_v"
     ),

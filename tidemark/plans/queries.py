@@ -451,6 +451,17 @@ def article_filter(spark, d):
     return hits.select("article_id", "topic_name", "source", "published").withColumns(stamp("published"))
 
 
+def stored_filter(spark, d):
+    """The store, saved in two parts that share their URLs' first days, filtered by folders of days."""
+    store = _paths(spark, "store")[0]
+    articles = v.articles(spark, d)
+    late = F.col("article_id") % 3 == 0
+    for part in (articles.filter(late), articles):
+        st.save_articles(part, store, "article_id")
+    hits = ex.article_filter(st.load_days(spark, store), search="tion", sources=[f"src{n}" for n in range(10)], days=DAYS, day_col="day")
+    return hits.select("title", "source", "url", "published").withColumns(stamp("published"))
+
+
 def article_list(spark, d):
     return ex.article_list(named(spark, d)).withColumns(stamp("published"))
 
@@ -708,7 +719,7 @@ QUERIES = {
         npmi_coherence, average_coherence, topic_names, unique_topic_names, label_articles, sample_titles,
         daily_counts, daily_counts_wide, window_compare, source_diversity, velocity, emerging_score, trend_label,
         topic_summary, topic_with_trend, topic_table, coherence_table, topic_distribution, overview, top_emerging,
-        trend_lines, trend_table, topic_latest, source_mix, article_filter, article_list, filter_options,
+        trend_lines, trend_table, topic_latest, source_mix, article_filter, stored_filter, article_list, filter_options,
         article_labels, article_detail, map_points, map_labels, similar_pairs, story_components, story_groups, story_summary,
         story_count, story_members, cluster_centroids, assign_new, cluster_counts, silhouette, davies_bouldin,
         knn_graph, core_distance, mutual_reachability, stream_ingest, stream_feeds, stream_feed_status, stream_dedup, stream_daily_counts,

@@ -1,4 +1,4 @@
-"""Stored articles: a Parquet table that takes each URL once."""
+"""Stored articles: a Parquet table that takes each URL once, in folders by save and day."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import dense_index, first_rows
+from tidemark.session import checkpointed
 from tidemark.sources.articles import COLUMNS
 
 STORE_SCHEMA = (
@@ -19,12 +20,20 @@ STORE_SCHEMA = (
 
 def load_store(spark: SparkSession, path: str) -> DataFrame:
     """The whole table; an empty frame with the same schema if nothing was stored yet."""
+    return load_days(spark, path).drop("day")
+
+
+def load_days(spark: SparkSession, path: str) -> DataFrame:
+    """The table with the day of ``published`` (null without date), which is a folder: a filter on it opens only its days."""
     return _with_batches(spark, path).drop("batch")
 
 
 def _with_batches(spark: SparkSession, path: str) -> DataFrame:
-    """The table with the name of the save that brought each row."""
-    schema = STORE_SCHEMA + ", batch string"
+    """The table with the name of the save that brought each row, and its day."""
+    return _read(spark, path, STORE_SCHEMA + ", batch string, day date")
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
@@ -56,21 +65,25 @@ def new_articles(batch: DataFrame, stored_urls: DataFrame, order_col: str) -> Da
 def save_articles(batch: DataFrame, path: str, order_col: str | None = None, name: str | None = None) -> int:
     """Append the new rows of ``batch`` with running ids and a fetch stamp; returns their number.
 
-    Each save has a folder of its own. Saving again under the same ``name`` replaces what that save had brought,
-    so a batch that is repeated after a failure adds nothing twice, rows without URL included.
+    Each save has a folder of its own, and in it one for each day of ``published``; late articles are small folders of their days.
+    Saving again under the same ``name`` replaces what that save had brought, so a batch that is repeated after a
+    failure adds nothing twice, rows without URL included. The last id of each save is noted beside the table before
+    the save is written: a save that fails in between leaves a gap in the ids and never an id twice.
     """
     spark = batch.sparkSession
     ordered = batch.withColumn("_ord", F.col(order_col) if order_col else F.monotonically_increasing_id())
     name = name or uuid.uuid4().hex
     stored = _with_batches(spark, path).filter(F.col("batch") != name)
-    totals = stored.agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    last = _read(spark, f"{path}-ids", "last long, batch string").filter(F.col("batch") != name).agg(F.max("last").alias("m")).first()["m"]
     fresh = new_articles(ordered.select("_ord", *COLUMNS), stored, "_ord")
-    first_id = 1 if totals["last"] is None else totals["last"] + 1
-    numbered = dense_index(fresh, "_ord", "id")
-    numbered.select(
-        (F.col("id") + first_id).alias("id"), *COLUMNS, F.current_timestamp().alias("fetched_at")
-    ).write.mode("overwrite").parquet(f"{path}/batch={name}")
-    return count_articles(spark, path) - totals["n"]
+    numbered = checkpointed(dense_index(fresh, "_ord", "id").withColumn("id", F.col("id") + (last or 0) + 1))
+    n = numbered.count()
+    noted = spark.range(1).select(F.lit((last or 0) + n).cast("long").alias("last"))
+    noted.write.mode("overwrite").parquet(f"{path}-ids/batch={name}")
+    rows = numbered.select("id", *COLUMNS, F.current_timestamp().alias("fetched_at"), F.to_date("published").alias("day"))
+    by_day = rows.hint("rebalance", F.col("day")).write.option("partitionOverwriteMode", "static")
+    by_day.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={name}")
+    return n
 
 
 def export_articles(articles: DataFrame) -> DataFrame:
