@@ -59,6 +59,10 @@ def test_empty_tables_and_clashing_columns(spark):
     b = spark.createDataFrame([("q", "b", 1)], "item_id string, text string, n_words int")
     row = decontaminate(d, b).first()
     assert (row.n_hit, row.n_words, list(row["items"]), row.text_key, row.item) == (1, 3, ["q"], "k", "0")
+    own = ["_key", "_at", "_hit", "_items", "c0", "c1", "a.b", "words", "spans"]
+    d = spark.createDataFrame([(1, "a b c", *own)], ["doc_id", "text", *own])
+    row = decontaminate(d, b).first()
+    assert (row.n_hit, [row[c] for c in own]) == (1, own)
 
 
 @pytest.mark.parametrize("sf", ["0.001"])

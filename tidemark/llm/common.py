@@ -22,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_place(df: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ... by place, and the new name of each; columns ``without`` are left out.
+
+    So an operator's own names never meet those of its caller.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(c for c in df.columns if c not in without)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def named_again(names: dict[str, str]) -> list[Column]:
+    """The columns of :func:`by_place` under their names."""
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def dump(*parts) -> bytes:
     """Numpy arrays (and lists of them) as one compressed message between tasks of one job."""
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, protocol=5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, lower_ascii
+from tidemark.llm.common import broadcast_if_small, by_place, lower_ascii, named_again
 from tidemark.session import checkpointed
 
 WINDOW = 13
@@ -112,8 +112,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     per_text = found.groupBy("text_key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("_items"))
     per_text = broadcast_if_small(checkpointed(per_text.select(F.col("text_key").alias("_key"), walk.cast("long").alias("_hit"), "_items")))
     made = ("n_words", "n_hit", "n_items", "items", "contaminated")
-    kept = [c for c in docs.columns if c not in made]
-    out = docs.withColumn("_at", F.sha2(F.col(text_col), 256)).join(per_text, F.col("_at") == F.col("_key"), "left")
-    n_words = F.size(words_of(F.col(text_col))).cast("long")
-    out = out.select(*kept, n_words.alias("n_words"), F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
-    return out.select(*kept, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    rows, names = by_place(docs, made)
+    text = F.col(names[text_col])
+    out = rows.withColumn("_at", F.sha2(text, 256)).join(per_text, F.col("_at") == F.col("_key"), "left")
+    n_words = F.size(words_of(text)).cast("long")
+    out = out.select(*names.values(), n_words.alias("n_words"), F.coalesce("_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*named_again(names), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
