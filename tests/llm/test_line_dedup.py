@@ -100,3 +100,12 @@ def test_every_block_that_an_earlier_document_holds_goes(spark):
         assert len(must) <= got[i][3] <= len(may)
         if must == may:
             assert got[i][1] == "\n".join(vocabulary[x] for k, x in enumerate(t) if k not in may)
+
+
+def test_clashing_columns(spark):
+    own = ["_key", "_id", "_gone", "id", "key", "c0", "c1", "hashes", "a.b", "n_lines"]
+    line = "these are eight words of a shared line"
+    rows = spark.createDataFrame([(i, f"{line}\nown {i}", *own) for i in (1, 2)], ["doc_id", "text", *own])
+    got = {r.doc_id: r for r in dedup_lines(rows).collect()}
+    assert [got[i].text for i in (1, 2)] == [f"{line}\nown 1", "own 2"] and got[2].n_lines == 2
+    assert all(r[c] == c for r in got.values() for c in own[:-1])

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import by_place
 from tidemark.session import checkpointed
 
 MIN_WORDS = 8
@@ -201,13 +202,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = both.mapInArrow(work, "id long, key long, gone array<long>")
     gone = checkpointed(found.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
     marks = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("gone").alias("_gone"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.join(marks, (ident == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    rows, names = by_place(docs, ("n_lines", "n_removed"))
+    text, ident = F.col(names[text_col]), F.col(names[id_col]).cast("long")
+    joined = rows.join(marks, (ident == F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
     lines = lines_of(text)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"].cast("long")))["x"], "\n")
     new = F.when(F.col("_gone").isNull(), text).otherwise(kept)
     return joined.select(
-        *(new.alias(c) if c == text_col else F.col(c) for c in columns),
+        *(new.alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
