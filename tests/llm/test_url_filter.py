@@ -61,3 +61,15 @@ def test_empty_tables_and_one_class(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).collect() == []
     got = filter_urls(spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.de/")], "page_id long, url string"), rules).collect()
     assert sorted((r.page_id, r.verdict, r.score) for r in got) == [(1, "block", 0.0), (2, "allow", 0.0)]
+
+
+def test_clashing_columns_and_native_plan(spark):
+    own = ["_host", "_label", "_rule", "_order", "_url", "c0", "c1", "a.b", "parent", "verdict"]
+    rows = [(i, f"http://a{i % 3}.{tail}", *own) for i, tail in enumerate(["net/x", "example.net/en/y", "com/z", "net/", "org/fr/"] * 4)]
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    out = filter_urls(spark.createDataFrame(rows, ["page_id", "url", *own]), rules)
+    got = out.collect()
+    assert len(got) == 20 and all(r[c] == c for r in got for c in own[:-1])
+    assert all((r.host, r.path) == plain(r.url) and r.verdict in ("block", "allow") for r in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

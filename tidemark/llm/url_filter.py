@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, lower_ascii
+from tidemark.llm.common import broadcast_if_small, by_place, lower_ascii, named_again
 from tidemark.session import checkpointed
 
 #: Lexical features of a URL; those that begin with ``suffix_`` are statistics of all URLs under one host suffix.
@@ -123,14 +123,15 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", labelle
     other. Repeated rows are kept; columns of ``urls`` with the names of the results are replaced.
     """
     made = ("host", "path", "rule", "score", "verdict")
-    kept = [c for c in urls.columns if c not in made]
-    rows = lexical(urls.select(*kept), url_col)
+    given, names = by_place(urls, made)
+    url = names[url_col]
+    rows = lexical(given, url)
     suffixes = broadcast_if_small(checkpointed(suffix_statistics(rows)))
     judged = apply_rules(rows, rules).join(suffixes, "_suffix", "left")
     if labelled is None:
         train = judged.withColumn("_label", F.when(F.col("_rule_verdict") == "block", 1.0).when(F.col("_rule_verdict") == "allow", 0.0))
     else:
-        train = lexical(labelled.select(F.col(url_col), F.col("label").alias("_given")), url_col).join(suffixes, "_suffix", "left")
+        train = lexical(labelled.select(F.col(url_col).alias(url), F.col("label").alias("_given")), url).join(suffixes, "_suffix", "left")
         train = train.withColumn("_label", F.when(F.col("_given").isin(0, 1), F.col("_given").cast("double")))
     numbers = [F.coalesce(F.col(f"_{c}").cast("double"), F.lit(0.0)).alias(f"_{c}") for c in FEATURES]
     bounded = train.filter("_label is not null").select("_label", F.xxhash64("_url").alias("_order"), *numbers).orderBy("_order", "_label").limit(max_train)
@@ -144,4 +145,4 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", labelle
     else:
         judged = judged.withColumn("score", F.lit(0.0))
     verdict = F.coalesce("_rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return judged.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), "score", verdict.alias("verdict"))
+    return judged.select(*named_again(names), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), "score", verdict.alias("verdict"))
