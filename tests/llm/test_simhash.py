@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from tidemark.llm.common import components
-from tidemark.llm.simhash import compare, fingerprint, near_duplicates
+from tidemark.llm.simhash import compare, fingerprint, links, near_duplicates
 
 
 def brute_print(text):
@@ -54,10 +54,26 @@ def test_compare_equals_all_pairs():
     rng.shuffle(prints)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
     want = {(min(int(prints[i]), int(prints[j])), max(int(prints[i]), int(prints[j]))) for i, j in zip(*np.nonzero(near)) if i < j}
-    got = [(min(x, y), max(x, y)) for a, b in compare(prints, prints, 4, True) for x, y in zip(a.tolist(), b.tolist())]
+    got = [(min(x, y), max(x, y)) for a, b in compare(prints, prints, 4, True) for x, y in zip(prints[a].tolist(), prints[b].tolist())]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_dense_group_costs_few_links(spark):
+    centre = 0x0F1E2D3C4B5A6978
+    dense = sorted({centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)} | {centre ^ (1 << i) for i in range(64)})
+    far = [~p & (2**64 - 1) for p in dense[:40]]
+    prints = spark.createDataFrame([(p - 2**64 if p >> 63 else p,) for p in dense + far], "print long")
+    rows = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in links(prints).collect()]
+    assert len(dense) == 2081 and len(rows) < 5000 and all(1 <= (a ^ b).bit_count() <= 4 for a, b in rows)
+    group = {p: {p} for p in dense + far}
+    for a, b in rows:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for p in group[b]:
+                group[p] = group[a]
+    assert all(group[p] == set(dense) for p in dense) and not any(group[p] & set(dense) for p in far)
+
+
 def test_fingerprint_of_empty_and_empty_table(spark):
     assert fingerprint(None) == fingerprint("\n") == 0
     df = spark.createDataFrame([], "doc_id long, text string")
