@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from tidemark.llm import line_dedup
 from tidemark.llm.line_dedup import _cut, align, dedup_lines
 
 
@@ -37,6 +38,19 @@ def test_hot_line_costs_one_pair_per_document(spark):
     assert all(hot not in g[1] for g in got if g[0])
 
 
+def test_pairs_of_a_hot_owner_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_SHARE", 16)
+    pairs = spark.createDataFrame([(i, i, 1 if i % 2 else i - 1, 7) for i in range(2, 400)], "id long, key long, early_id long, early_key long")
+    early = spark.createDataFrame([(i, 7, [i]) for i in range(1, 400)], "early_id long, early_key long, early array<long>")
+    rows = line_dedup._with_owner(pairs, early).collect()
+    assert sorted((r.id, r.early_id, r.early[0]) for r in rows) == [(i, e, e) for i in range(2, 400) for e in [1 if i % 2 else i - 1]]
+    held = [sum(r.early_id == 1 and r.copy == c for r in rows) for c in range(13)]
+    assert sum(held) == 200 and 0 < max(held) < 40
+    hot = "the same licence line in very many documents here"
+    got = cut(spark, [(i, f"text number {i} alone\n{hot}\nand its end {i}", "") for i in range(100)])
+    assert [g[3] for g in sorted(got)] == [0] + [1] * 99
+
+
 def test_alignment_is_common_and_increasing():
     rng = random.Random(1)
     for _ in range(200):

@@ -15,6 +15,7 @@ from tidemark.session import checkpointed
 
 MIN_WORDS = 8
 _ROWS = 256  # documents whose runs are held at once
+_SHARE = 512  # pairs of one owner that go with one copy of its lines, at least
 _FACTOR = 0x9E3779B97F4A7C17
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
@@ -153,9 +154,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at least two lines. A document overlaps an earlier one (smaller id) if that is the first to hold one of its runs
     side by side; so a run names one partner however many documents share it, and every common block of ``min_words``
     words or more is covered by runs, each compared with a document that holds it whole. Runs of one owner name it
-    once. A common run is treated like a rare one, as it costs no more: one partner for each document. Each pair is aligned by patience diff over all
-    lines of both, and its common blocks of
-    ``min_words`` words or more are deleted from the later text, with their line feeds. Blocks are judged on the input.
+    once. A common run is treated like a rare one, as it costs no more: one partner for each document. The pairs of
+    an owner that very many documents share are dealt over copies of its lines. Each pair is aligned by patience diff
+    over all lines of both, and its common blocks of ``min_words`` words or more are deleted from the later text, with their line feeds. Blocks are judged on the input.
     So are the blocks that the alignment leaves because they are repeated in either text or stand in another order:
     all common runs of two lines or more, every time the later text holds them, and single lines that either text
     repeats. A single line that both hold once and that is out of order with the alignment stays.
@@ -186,7 +187,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpointed(pairs.select("id", "key", F.col("owner.id").alias("early_id"), F.col("owner.key").alias("early_key")))
     early = sequences.select(F.col("id").alias("early_id"), F.col("key").alias("early_key"), F.col("hashes").alias("early")).dropDuplicates(["early_id", "early_key"])
     late = sequences.dropDuplicates(["id", "key"])
-    both = pairs.join(early, ["early_id", "early_key"]).join(late, ["id", "key"]).select("id", "key", "early", "hashes", "words")
+    both = _with_owner(pairs, early).join(late, ["id", "key"]).select("id", "key", "early", "hashes", "words")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,5 +216,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _with_owner(pairs: DataFrame, early: DataFrame) -> DataFrame:
+    """``pairs`` with the line list of their owner; the pairs of a hot owner are dealt over copies of its list.
+
+    Hot is an owner of more than ``_SHARE`` pairs and of more than a thousandth of all, so there are fewer than 1,000.
+    """
+    total = pairs.count()
+    share = max(_SHARE, total // 1000)
+    owners = pairs.groupBy("early_id", "early_key").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")).filter("copies > 1")
+    hot = F.broadcast(checkpointed(owners))
+    copies, own = F.coalesce("copies", F.lit(1)), ["early_id", "early_key"]
+    dealt = pairs.join(hot, own, "left").withColumn("copy", F.pmod(F.xxhash64("id", "key"), copies).cast("int")).drop("copies")
+    copied = early.join(hot, own, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return dealt.join(copied, [*own, "copy"])
+
+
 def _words(line):
     return F.size(F.filter(F.split(line, r"[ \t\r\f]+"), lambda w: w != "")).cast("long")
