@@ -52,9 +52,29 @@ def model(spark):
 def test_held_out_accuracy(spark, model):
     docs = queries.table(spark, "/root/testdata/sf0.1", "documents").filter(queries.held_out())
     labels = queries.table(spark, "/root/testdata/sf0.1", "labels")
-    rows = tx.score(docs, model).join(labels, "doc_id").select("toxic", "score").collect()
+    rows = tx.score(docs, model).join(labels, "doc_id").select("toxic", "score", F.rlike(F.lower("text"), F.lit(r"\b(idiot|moron|stupid|worthless|pathetic)\b")).alias("plain")).collect()
     y, s = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
-    assert ((s >= 0.5)[y == 1]).mean() > 0.75 and ((s >= 0.5)[y == 0]).mean() < 0.02
+    # about a sixth of the toxic labels are on texts without any insult, so 0.85 is what the texts allow
+    assert ((s >= 0.5)[y == 1]).mean() > 0.84 and ((s >= 0.5)[y == 0]).mean() < 0.02
+    insulting = np.array([r.plain for r in rows])
+    assert insulting.sum() > 40 and (s[insulting] >= 0.5).all()
+
+
+def test_insults_behind_the_first_window_are_learned():
+    rng = np.random.default_rng(3)
+    parts = "the and ation ere ing ble hat was here ore thin".split()
+
+    def word():
+        return "".join(rng.choice(parts, 2))
+
+    def bag(bad):
+        tail = rng.choice(["idiot", "moron"]) if bad else rng.choice(parts)
+        return sorted({word() for _ in range(30)} | {"-".join([*(word() for _ in range(5)), tail])})
+
+    y = np.array([1] * 60 + [0] * 120)
+    model = tx.fit([bag(k) for k in y], y)
+    worst = np.array([tx.word_values(bag(k), model.table, model.bias).max() for k in y])
+    assert ((model.chance(worst) >= 0.5) == y).all()
 
 
 def test_gapped_and_inserted_insults(spark, model):
@@ -62,7 +82,7 @@ def test_gapped_and_inserted_insults(spark, model):
     insults = ["idiot", "i.d.i.o.t", "i d i o t", "idi-ot", "idxiot", "IDIOT!", "worthless", "w-orthless", "worth.less", "pathetic", "pathxetic", "stupid", "s.t.u.p.i.d"]
     df = spark.createDataFrame([(i, f"{clean} {w} {clean}") for i, w in enumerate(insults)] + [(99, clean)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in tx.score(df, model).collect()}
-    assert got[99] < 0.5 and sum(got[i] >= 0.5 for i in range(len(insults))) >= 10
+    assert got[99] < 0.5 and sum(got[i] >= 0.5 for i in range(len(insults))) >= 12
 
 
 def test_edges(spark, model):

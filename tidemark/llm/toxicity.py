@@ -22,6 +22,7 @@ from tidemark.llm.common import release_memory, slices
 
 DECAY, SPAN, LONGEST = 0.6, 12, 24
 _CODES, _START, _END, _GAP = 64, 27, 28, 63
+_TIE = 0.002  # letters in a row only order words that the labels tell apart no better
 _AT_ONCE = 3 << 20  # bytes of text scored together
 
 
@@ -46,10 +47,25 @@ def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return i, j, k, weight, float(np.sqrt((weight**2).sum())) or 1.0
 
 
-def _windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of the words by length, with marks at both ends: (word numbers, codes); a longer word as overlapping windows."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    codes = _alphabet()[np.frombuffer("".join([f"\1{w}\2" for w in words]).encode("utf-32-le"), np.uint32)]
+def _starts(length: int) -> np.ndarray:
+    """Places of the overlapping windows of a word that is longer than one."""
+    return np.unique(np.append(np.arange(0, length - LONGEST, LONGEST // 2), length - LONGEST))
+
+
+def pieces(word: str) -> list[str]:
+    """The word with marks at both ends; a word longer than a window as its windows."""
+    marked = f"\1{word}\2"
+    return [marked] if len(marked) <= LONGEST else [marked[a : a + LONGEST] for a in _starts(len(marked)).tolist()]
+
+
+def _windows(words: list[str], marked: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes of the words by length: (word numbers, codes); a longer word as overlapping windows.
+
+    Words get marks at both ends; ``marked`` ones, pieces of words, are taken as they are.
+    """
+    given = words if marked else [f"\1{w}\2" for w in words]
+    lengths = np.fromiter(map(len, given), np.int64, len(given))
+    codes = _alphabet()[np.frombuffer("".join(given).encode("utf-32-le"), np.uint32)]
     first = np.cumsum(lengths) - lengths
     for n in np.unique(lengths[lengths <= LONGEST]).tolist():
         if n >= 5:
@@ -58,7 +74,7 @@ def _windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 part = own[at : at + 20_000 // n]
                 yield part, codes[first[part][:, None] + np.arange(n)]
     for w in np.flatnonzero(lengths > LONGEST).tolist():
-        starts = np.unique(np.append(np.arange(0, lengths[w] - LONGEST, LONGEST // 2), lengths[w] - LONGEST))
+        starts = _starts(int(lengths[w]))
         for at in range(0, len(starts), 2048):
             part = starts[at : at + 2048]
             yield np.full(len(part), w), codes[first[w] + part[:, None] + np.arange(LONGEST)]
@@ -72,10 +88,10 @@ def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (c[:, i] * _CODES + c[:, j]) * _CODES + c[:, k], (sound * (weight / norm)).astype(np.float32)
 
 
-def _mapped(words: list[str], column: np.ndarray, n_columns: int) -> np.ndarray:
-    """Weights of the subsequences with a ``column`` (the kernel's feature map), a row for each word's first window."""
+def _mapped(words: list[str], column: np.ndarray, n_columns: int, marked: bool = False) -> np.ndarray:
+    """Weights of the subsequences with a ``column`` (the kernel's feature map), a row for each word of one window."""
     out = np.zeros((len(words), n_columns), np.float32)
-    for number, codes in _windows([w[: LONGEST - 2] for w in words]):
+    for number, codes in _windows(words, marked):
         at, weight = _subsequences(codes)
         at = column[at]
         known = at >= 0
@@ -83,10 +99,10 @@ def _mapped(words: list[str], column: np.ndarray, n_columns: int) -> np.ndarray:
     return out
 
 
-def _columns(words: list[str]) -> tuple[np.ndarray, int]:
+def _columns(words: list[str], marked: bool = False) -> tuple[np.ndarray, int]:
     """A column for each subsequence of the words; kernels with these words need no other."""
     used = [np.zeros(0, np.int32)]
-    for _, codes in _windows([w[: LONGEST - 2] for w in words]):
+    for _, codes in _windows(words, marked):
         at, weight = _subsequences(codes)
         used.append(at[weight > 0])
     used = np.unique(np.concatenate(used))
@@ -95,11 +111,11 @@ def _columns(words: list[str]) -> tuple[np.ndarray, int]:
     return column, len(used)
 
 
-def word_values(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
+def word_values(words: list[str], table: np.ndarray, bias: float, marked: bool = False) -> np.ndarray:
     """Value of the function for each word: the sum of its subsequences' weights over its norm; the worst window counts."""
     out = np.full(len(words), -np.inf, np.float32)
     flat = table.ravel()
-    for number, codes in _windows(words):
+    for number, codes in _windows(words, marked):
         i, j, k, weight, norm = _triples(codes.shape[1])
         c = codes.astype(np.int32)
         value = flat[(c[:, i] * _CODES + c[:, j]) * _CODES + c[:, k]] @ (weight / norm).astype(np.float32)
@@ -173,19 +189,54 @@ def _sigmoid(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _inserted(word: str, rng: np.random.Generator) -> list[str]:
-    """The word spelled with signs between its letters, and with one letter inserted."""
+def _inserted(piece: str, rng: np.random.Generator) -> list[str]:
+    """The piece of a word spelled with signs between its letters, and with one sign or letter inserted, if that fits a window."""
+    word = piece.strip("\1\2")
     at = int(rng.integers(1, max(len(word), 2)))
-    return [".".join(word), word[:at] + chr(97 + int(rng.integers(26))) + word[at:], word[:at] + "-" + word[at:]]
+    forms = [".".join(word), word[:at] + chr(97 + int(rng.integers(26))) + word[at:], word[:at] + "-" + word[at:]]
+    start, end = "\1" * piece.startswith("\1"), "\2" * piece.endswith("\2")
+    return [start + f + end for f in forms if len(start + f + end) <= LONGEST]
+
+
+def _telling(names: list[str], held: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """For each piece the strongest sign of toxic texts among its runs of three letters: log odds by the root of their number."""
+    out = np.zeros(len(names))
+    of, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number, codes in _windows(names, True):
+        c = codes.astype(np.int64)
+        sound = ((c[:, :-2] != _GAP) & (c[:, 1:-1] != _GAP) & (c[:, 2:] != _GAP)).ravel()
+        of.append(np.repeat(number, c.shape[1] - 2)[sound])
+        runs.append(((c[:, :-2] * _CODES + c[:, 1:-1]) * _CODES + c[:, 2:]).ravel()[sound])
+    of, runs = np.concatenate(of), np.concatenate(runs)
+    order = np.argsort(of, kind="stable")
+    of, runs = of[order], runs[order]
+    first = np.searchsorted(of, np.arange(len(names) + 1))
+    counts = np.zeros((2, _CODES**3))
+    for own, y in zip(held, labels):
+        if len(own):
+            counts[int(y), np.unique(np.concatenate([runs[first[w] : first[w + 1]] for w in own.tolist()]))] += 1
+    clean, toxic = counts
+    odds = np.log((toxic + 0.5) / (labels.sum() + 1)) - np.log((clean + 0.5) / ((1 - labels).sum() + 1))
+    np.maximum.at(out, of, (odds * np.sqrt(toxic))[runs])
+    return out
 
 
-def fit(bags: list[list[str]], labels: np.ndarray, n_landmarks: int = 160, rounds: int = 3) -> Model:
-    """Machine from labelled bags of words: in a toxic text the worst word is the witness, in a clean one every word counts."""
+def fit(
+    bags: list[list[str]], labels: np.ndarray, n_landmarks: int = 480, rounds: int = 3,
+    n_usual: int = 4000, n_random: int = 6000, n_worst: int = 2000, n_changed: int = 400,
+) -> Model:
+    """Machine from labelled bags of words: in a toxic text the worst words are witnesses, in a clean one every word counts.
+
+    Words longer than a window count as their windows, from the first to the last. The machine takes every witness,
+    changed spellings of ``n_changed`` of them, and as clean words the ``n_usual`` that most clean texts hold,
+    ``n_random`` drawn ones and, after each round, the ``n_worst`` of all that the round took for the worst.
+    """
     rng = np.random.default_rng(0)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(_CODES**3, np.float32), 0.0, 0.0, 500.0 if share == 1 else -500.0)
-    names = sorted({w for b in bags for w in b})
+    bags = [sorted({p for w in b for p in pieces(w)}) for b in bags]
+    names = sorted({p for b in bags for p in b})
     number = {w: i for i, w in enumerate(names)}
     held = [np.array([number[w] for w in b], np.int64) for b in bags]
     toxic, clean = np.zeros(len(names)), np.zeros(len(names))
@@ -193,52 +244,59 @@ def fit(bags: list[list[str]], labels: np.ndarray, n_landmarks: int = 160, round
         (toxic if y else clean)[own] += 1
     n_toxic, n_clean = labels.sum(), (1 - labels).sum()
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    size = np.fromiter(map(len, names), np.int64, len(names))
-    value = np.where(size >= 3, odds * np.sqrt(toxic), -np.inf)  # first guess of the witnesses
-    bad = np.argsort(-value, kind="stable")[: n_landmarks // 2]
+    size = np.fromiter((len(n.strip("\1\2")) for n in names), np.int64, len(names))
+    # first guess of the witnesses: words that toxic texts hold, or else those with letters in a row that they hold
+    known, telling = odds * np.sqrt(toxic), _telling(names, held, labels)
+    value = np.where(size >= 3, known + _TIE * telling, -np.inf)
+    ranked = [np.argsort(-np.where(size >= 3, v, -np.inf), kind="stable") for v in (known, telling)]
+    bad = np.unique(np.concatenate([ranked[0][: n_landmarks // 2], ranked[1][: n_landmarks // 4]]))
+    respelled = np.argsort(-value, kind="stable")[:16]
     usual = np.argsort(-np.where(size >= 3, clean, -1), kind="stable")[: n_landmarks // 4]
     other = rng.choice(len(names), min(n_landmarks // 4, len(names)), replace=False)
-    landmarks = sorted({names[i] for i in (*bad, *usual, *other)} | {v for i in bad[:16] for v in _inserted(names[i], rng)[:1]})
-    column, width = _columns(landmarks)
-    mapped = _mapped(landmarks, column, width)
+    landmarks = sorted({names[i] for i in (*bad, *usual, *other)} | {v for i in respelled for v in _inserted(names[i], rng)[:2]})
+    column, width = _columns(landmarks, True)
+    mapped = _mapped(landmarks, column, width, True)
     gram = (mapped @ mapped.T).astype(np.float64)
     root, turn = np.linalg.eigh(gram)
     keep = root > 1e-6 * root.max()
     whiten = turn[:, keep] / np.sqrt(root[keep])  # Nyström: kernels with the landmarks to coordinates
     base = (mapped.T @ whiten).astype(np.float32)  # weights of each coordinate
     in_clean = np.flatnonzero((clean > 0) & (size >= 3))
-    often = in_clean[np.argsort(-clean[in_clean], kind="stable")[:4000]]
-    negative = np.unique(np.concatenate([often, rng.choice(in_clean, min(6000, len(in_clean)), replace=False)])) if len(in_clean) else in_clean
+    often = in_clean[np.argsort(-clean[in_clean], kind="stable")[:n_usual]]
+    negative = np.unique(np.concatenate([often, rng.choice(in_clean, min(n_random, len(in_clean)), replace=False)])) if len(in_clean) else in_clean
     table, bias = np.zeros(_CODES**3, np.float32), 0.0
     for step in range(rounds):
         witness: dict[int, int] = {}
         for own, y in zip(held, labels):
             if y and len(own):
-                w = int(own[np.argmax(value[own])])
-                if np.isfinite(value[w]) and (step or odds[w] > 1):
-                    witness[w] = witness.get(w, 0) + 1
+                top = value[own].max()
+                # other words that look as bad are witnesses as well: a text may hold several insults
+                for w in own[value[own] >= (min(top, 1.0) if step else top / 2 if top > 0 else top)].tolist():
+                    if np.isfinite(value[w]) and (step or odds[w] > 1):
+                        witness[w] = witness.get(w, 0) + 1
         sure = [w for w in witness if toxic[w] * n_clean > 3 * clean[w] * n_toxic] or list(witness)
         if not sure:
             break
         positive = [names[w] for w in sure]
-        changed = [v for p in positive[:400] for v in _inserted(p, rng)]
-        words = [*positive, *changed, *(names[i] for i in negative)]
-        x = np.concatenate([_mapped(words[a : a + 500], column, width) @ base for a in range(0, len(words), 500)])
+        often_seen = np.array([witness[w] for w in sure], np.float64)
+        changed = [(v, n / 2) for p, n in zip(positive[:n_changed], often_seen) for v in _inserted(p, rng)]
+        words = [*positive, *(v for v, _ in changed), *(names[i] for i in negative)]
+        x = np.concatenate([_mapped(words[a : a + 500], column, width, True) @ base for a in range(0, len(words), 500)])
         y = np.concatenate([np.ones(len(positive) + len(changed)), -np.ones(len(negative))])
-        weight = np.concatenate([np.sqrt([witness[w] for w in sure]), np.full(len(changed), 0.5), np.ones(len(negative))])
+        weight = np.concatenate([often_seen, [n for _, n in changed], np.ones(len(negative))])
         weight[y > 0] *= max(len(negative), 1) / (4 * weight[y > 0].sum())
         w, bias = _machine(x, y, weight)
         table = np.zeros(_CODES**3, np.float32)
         table[column >= 0] = base @ w.astype(np.float32)
-        value = np.where(size >= 3, word_values(names, table, bias), -np.inf)
-        worst = in_clean[np.argsort(-value[in_clean], kind="stable")[:2000]]  # clean words that look worst
+        value = np.where(size >= 3, word_values(names, table, bias, True), -np.inf)
+        worst = in_clean[np.argsort(-value[in_clean], kind="stable")[:n_worst]]  # clean words that look worst
         negative = np.unique(np.concatenate([negative, worst]))
     worst = np.array([value[own].max() if len(own) and np.isfinite(value[own].max()) else bias for own in held])
     slope, offset = _sigmoid(worst, labels.astype(np.float64))
     return Model(table, bias, slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 3000, max_bytes: int = 1 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 3000, max_bytes: int = 1 << 16) -> Model:
     """Model from labelled documents: ``labels`` has ``id_col`` and ``label_col`` (1 toxic, 0 clean, else ignored).
 
     The fit takes at most ``max_toxic`` and ``max_clean`` labelled documents of at most ``max_bytes`` each, those with
