@@ -22,6 +22,7 @@ from tidemark.llm.common import release_memory, slices
 
 DECAY, SPAN, LONGEST = 0.6, 12, 24
 _CODES, _START, _END, _GAP = 64, 27, 28, 63
+_FITTED = 1 << 22  # numbers in the rows of subsequence weights that the fit holds at a time
 _TIE = 0.002  # letters in a row only order words that the labels tell apart no better
 _AT_ONCE = 3 << 20  # bytes of text scored together
 
@@ -162,13 +163,19 @@ class Model:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    width = x.shape[1] + 1
+    w, ridge = np.zeros(width), np.eye(width)
     ridge[-1, -1] = 1e-6
     for _ in range(50):
-        active = y * (x @ w) < 1
-        a, c = x[active], cost * weight[active]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[active])
+        left, right = ridge.copy(), np.zeros(width)
+        for at in range(0, len(x), 1024):  # few rows at a time in double precision
+            part, sign, c = np.ones((len(x[at : at + 1024]), width)), y[at : at + 1024], cost * weight[at : at + 1024]
+            part[:, :-1] = x[at : at + 1024]
+            active = sign * (part @ w) < 1
+            scaled = part[active] * c[active, None]
+            left += scaled.T @ part[active]
+            right += scaled.T @ sign[active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -256,15 +263,16 @@ def fit(
     landmarks = sorted({names[i] for i in (*bad, *usual, *other)} | {v for i in respelled for v in _inserted(names[i], rng)[:2]})
     column, width = _columns(landmarks, True)
     mapped = _mapped(landmarks, column, width, True)
-    gram = (mapped @ mapped.T).astype(np.float64)
-    root, turn = np.linalg.eigh(gram)
+    root, turn = np.linalg.eigh((mapped @ mapped.T).astype(np.float64))
     keep = root > 1e-6 * root.max()
     whiten = turn[:, keep] / np.sqrt(root[keep])  # Nyström: kernels with the landmarks to coordinates
-    base = (mapped.T @ whiten).astype(np.float32)  # weights of each coordinate
+    base = mapped.T @ whiten.astype(np.float32)  # weights of each coordinate
+    del mapped
     in_clean = np.flatnonzero((clean > 0) & (size >= 3))
     often = in_clean[np.argsort(-clean[in_clean], kind="stable")[:n_usual]]
     negative = np.unique(np.concatenate([often, rng.choice(in_clean, min(n_random, len(in_clean)), replace=False)])) if len(in_clean) else in_clean
     table, bias = np.zeros(_CODES**3, np.float32), 0.0
+    at_once = max(_FITTED // width, 1)
     for step in range(rounds):
         witness: dict[int, int] = {}
         for own, y in zip(held, labels):
@@ -281,7 +289,9 @@ def fit(
         often_seen = np.array([witness[w] for w in sure], np.float64)
         changed = [(v, n / 2) for p, n in zip(positive[:n_changed], often_seen) for v in _inserted(p, rng)]
         words = [*positive, *(v for v, _ in changed), *(names[i] for i in negative)]
-        x = np.concatenate([_mapped(words[a : a + 500], column, width, True) @ base for a in range(0, len(words), 500)])
+        x = np.empty((len(words), base.shape[1]), np.float32)
+        for a in range(0, len(words), at_once):
+            x[a : a + at_once] = _mapped(words[a : a + at_once], column, width, True) @ base
         y = np.concatenate([np.ones(len(positive) + len(changed)), -np.ones(len(negative))])
         weight = np.concatenate([often_seen, [n for _, n in changed], np.ones(len(negative))])
         weight[y > 0] *= max(len(negative), 1) / (4 * weight[y > 0].sum())
