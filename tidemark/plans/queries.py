@@ -617,8 +617,8 @@ def story_members(spark, d):
 
 
 def _stream(spark, d, name):
-    """A given table as a stream of its landed files."""
-    return sn.landed(spark, d, v.table(spark, d, name).schema, f"{name}.parquet")
+    """A given table as a stream of its landed files. The glob fits one name, be it that of a file or of a folder of parts."""
+    return sn.landed(spark, f"{d}/{name}.{{parquet}}", v.table(spark, d, name).schema)
 
 
 def _paths(spark, *names):

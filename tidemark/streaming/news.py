@@ -29,7 +29,7 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def landed(spark: SparkSession, path: str, schema, name_filter: str = "*", fmt: str = "parquet") -> DataFrame:
-    """Stream of the files that land in ``path``."""
+    """Stream of the files that land in ``path``, which may be a glob: of folders that it matches all files are taken."""
     return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", name_filter).load(path)
 
 
