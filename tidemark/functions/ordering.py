@@ -8,33 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BITS = 20
+_LEVELS = (12, 26, 40)  # bits below the ranges of each level
 
 
 def dense_index(df: DataFrame, order_col: str, out: str, groups: tuple[str, ...] = ()) -> DataFrame:
     """0-based position of each row by ``order_col``, a unique long (per group).
 
     Equals ``row_number() - 1`` over the whole group but never sorts a group in one task: the order
-    value is cut into ranges of 2^20 values. A window numbers the rows inside one range, and the range
-    counts give the offsets. As the values are unique, a range holds at most 2^20 rows, whatever the skew.
+    value is cut into ranges of 2^12 values. A window numbers the rows inside one range, and the range
+    counts give the offsets, through two more levels of ranges. As the values are unique, a range holds at most 2^12 rows,
+    whatever the skew and however wide the rows, and a range of ranges at most 2^14 counts.
     """
-    low, mid = F.shiftright(order_col, _BITS), F.shiftright(order_col, 2 * _BITS)
-    rows = df.withColumn("_lo", low).withColumn("_hi", mid)
-    per_lo = rows.groupBy(*groups, "_hi", "_lo").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = [f"_r{bits}" for bits in _LEVELS]
+    rows = df.withColumns({r: F.shiftright(order_col, bits) for r, bits in zip(ranges, _LEVELS)})
     before = (Window.unboundedPreceding, -1)
-    w_lo = Window.partitionBy(*groups, "_hi").orderBy("_lo").rowsBetween(*before)
-    w_hi = Window.partitionBy(*groups).orderBy("_hi").rowsBetween(*before)
-    off_hi = (
-        per_lo.groupBy(*groups, "_hi")
-        .agg(F.sum("_n").alias("_n"))
-        .select(*groups, "_hi", F.coalesce(F.sum("_n").over(w_hi), F.lit(0)).alias("_off_hi"))
-    )
-    off_lo = per_lo.select(*groups, "_hi", "_lo", F.coalesce(F.sum("_n").over(w_lo), F.lit(0)).alias("_off_lo"))
-    offsets = off_lo.join(off_hi, [*groups, "_hi"]).withColumn("_off", F.col("_off_lo") + F.col("_off_hi"))
-    w_row = Window.partitionBy(*groups, "_hi", "_lo").orderBy(order_col)
+    counts = rows.groupBy(*groups, *ranges).agg(F.count(F.lit(1)).alias("_n"))
+    offsets, levels = None, counts
+    for at, name in enumerate(ranges):
+        above = ranges[at + 1 :]
+        levels = levels if not at else levels.groupBy(*groups, name, *above).agg(F.sum("_n").alias("_n"))
+        w = Window.partitionBy(*groups, *above).orderBy(name).rowsBetween(*before)
+        here = levels.select(*groups, name, *above, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_off{at}"))
+        offsets = here if offsets is None else offsets.join(here, [*groups, name, *above])
+    total = sum((F.col(f"_off{at}") for at in range(1, len(ranges))), F.col("_off0"))
+    # Placed by all keys: a side that lies by its highest range only would draw all rows of that range into one task.
+    offsets = offsets.select(*groups, *ranges, total.alias("_off")).repartition(*groups, *ranges)
+    w_row = Window.partitionBy(*groups, *ranges).orderBy(order_col)
     numbered = rows.withColumn("_rn", F.row_number().over(w_row))
     return (
-        numbered.join(offsets, [*groups, "_hi", "_lo"])
+        numbered.join(offsets, [*groups, *ranges])
         .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
         .select(*df.columns, out)
     )
