@@ -30,3 +30,14 @@ def test_terms_are_counted_without_an_aggregate_of_postings(spark):
     assert {(r["article_id"], r["term"]): r["tf"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "keys=[article_id" in plan and "term" not in plan.split("Aggregate(keys=[", 1)[1].split("]")[0]
+
+
+def test_class_counts_clean_the_texts_once(spark, tmp_path):
+    """The counts read cleaned texts that were written once, for words and for borders, and not the documents twice."""
+    from tidemark.plans import queries as q
+
+    docs = spark.range(8).selectExpr("id + 1 AS doc_id", "'market trade\\nbank market' AS text", "'en' AS lang", "'s' AS source", "26L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.class_term_counts(spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if "documents.parquet" in f]
+    assert got.agg(F.sum("tf")).first()[0] > 8 * 4

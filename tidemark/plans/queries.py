@@ -291,7 +291,7 @@ def normalize_vectors(spark, d):
 
 
 def class_term_counts(spark, d):
-    return tp.class_term_counts(cleaned(spark, d))
+    return tp.class_term_counts(cleaned_table(spark, d))  # reads the texts twice, for words and for borders
 
 
 def class_tfidf(spark, d):
