@@ -1,10 +1,14 @@
-"""Steps whose share per task must not grow with the table: dense numbering and term counts."""
+"""Steps whose share per task must not grow with the table: dense numbering, term counts and passes over term weights."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import dense_index
+from tidemark.operators import embeddings as em
 from tidemark.operators import features as ft
 
 
@@ -41,3 +45,20 @@ def test_class_counts_clean_the_texts_once(spark, tmp_path):
     got = q.class_term_counts(spark, str(tmp_path))
     assert not [f for f in got.inputFiles() if "documents.parquet" in f]
     assert got.agg(F.sum("tf")).first()[0] > 8 * 4
+
+
+def test_a_pass_over_term_weights_holds_few_numbers():
+    """512 documents of 400 terms against 110 directions: a product per posting would hold 90 MB at a time."""
+    rng = np.random.default_rng(5)
+    idx = [np.sort(rng.choice(2000, 400, replace=False)) for _ in range(512)]
+    frame = pd.DataFrame({"idx": idx, "val": list(rng.normal(size=(512, 400)))})
+    right = rng.normal(size=(2000, 110))
+    tracemalloc.start()
+    got = em._gram_share(iter([frame.iloc[:300], frame.iloc[300:]]), right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.zeros((512, 2000))
+    for row, (at, val) in enumerate(zip(idx, frame["val"])):
+        x[row, at] = val
+    assert np.allclose(got, x.T @ (x @ right), rtol=1e-10, atol=1e-8)
+    assert peak < 40e6
